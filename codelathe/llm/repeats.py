@@ -44,7 +44,7 @@ MOST = 20_000
 #: Bytes of segments that one index holds; an anchor's segments stay together.
 INDEX_BYTES = 1 << 20
 _END, _DIGIT, _DIGITS = 0xC0, 0xF8, 8
-_PIECE = 8 << 20
+_PIECE = 2 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 
 SPANS = T.ArrayType(T.StructType([T.StructField("b", T.IntegerType()), T.StructField("e", T.IntegerType())]))
@@ -119,7 +119,7 @@ class RunLengthIndex:
         for j in range(8):
             key = (key << np.uint64(8)) | wide[j : j + n]
         self.first = key
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         held = key[order]
         start = np.ones(n, bool)
         start[1:] = held[1:] != held[:-1]
@@ -137,7 +137,7 @@ class RunLengthIndex:
             follow = suffixes + k
             second = np.where(follow < n, rank[np.minimum(follow, n - 1)] + 1, 0)
             group = rank[suffixes]
-            placed = np.lexsort((second, group)) if n >= 1 << 31 else np.argsort(group * (n + 1) + second, kind="stable")
+            placed = np.lexsort((second, group)) if n >= 1 << 31 else np.argsort(group * (n + 1) + second)
             order[rows] = suffixes[placed]
             group, second = group[placed], second[placed]
             start[rows[1:]] = (group[1:] != group[:-1]) | (second[1:] != second[:-1])
