@@ -42,7 +42,7 @@ ANCHOR = 40
 #: Most occurrences of an anchor that go through one index.
 MOST = 20_000
 #: Bytes of segments that one index holds; an anchor's segments stay together.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 128 << 10
 _END, _DIGIT, _DIGITS = 0xC0, 0xF8, 8
 _PIECE = 2 << 20
 _PLACE = np.uint64((1 << 24) - 1)
