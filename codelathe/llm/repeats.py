@@ -44,7 +44,7 @@ MOST = 20_000
 #: Bytes of segments that one index holds; an anchor's segments stay together.
 INDEX_BYTES = 128 << 10
 _END, _DIGIT, _DIGITS = 0xC0, 0xF8, 8
-_PIECE = 2 << 20
+_PIECE = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 
 SPANS = T.ArrayType(T.StructType([T.StructField("b", T.IntegerType()), T.StructField("e", T.IntegerType())]))
