@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelathe.llm.common import blank_words_of, buffers, cut, fresh, mixed, slices, table, text_key
+from codelathe.llm.common import blank_words_of, buffers, cut, fresh, mixed, slices, small_batches, table, text_key, tidied
 from codelathe.llm.components import components
 
 TREES = 3
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, trees: int =
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), text_key(text).alias("t"))
     kind = T.StructType([rows.schema["doc_id"], T.StructField("t", T.StringType()), T.StructField("c", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(tidied(run), kind)
 
 
 def forest(ids: list, sets: list[np.ndarray], least: int) -> list[tuple]:
@@ -187,7 +187,7 @@ def compare(members: DataFrame, width: int, least: int) -> DataFrame:
 
     arrow = to_arrow_type(kind)
     placed = members.repartition("node").sortWithinPartitions("node", "rep")
-    return placed.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return placed.mapInArrow(tidied(run), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def child(node, level: int, tree: int):
@@ -243,6 +243,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     Shingles have ``width`` words between ASCII white space; rows are linked from
     ``least`` hundredths of Jaccard similarity on.
     """
+    small_batches(docs.sparkSession)
     rows = cut(signatures(docs, doc_id, text, width, trees))
     classes = rows.where("n > 0 and doc_id is not null").groupBy("c").agg(F.min(F.struct("doc_id", "t")).alias("r"), F.any_value("tokens").alias("tokens"), F.max("n").alias("n"))
     # A repeated id may stand for several classes; each is then a vertex of its own under that id.

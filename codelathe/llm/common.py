@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,10 +14,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python step holds at once; longer single texts form a block of their own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+
+
+#: Most rows and bytes of an Arrow batch between Spark and Python, so that long texts take little memory on either side.
+BATCH_ROWS = 1000
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -82,18 +96,45 @@ def with_struct(df: DataFrame, column: str, result: T.StructType, make: Callable
     other columns pass through untouched, whatever their names. Returns the
     frame and the struct's name, which no column of ``df`` has.
     """
+    small_batches(df.sparkSession)
     name = fresh(df, name)
     kind = _arrow(result)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for whole in batches:
-            for batch in slices(whole, column, limit):
-                yield pa.RecordBatch.from_arrays([*batch.columns, step(batch.column(column)).cast(kind)], [*batch.schema.names, name])
+        try:
+            for whole in batches:
+                for batch in slices(whole, column, limit):
+                    yield pa.RecordBatch.from_arrays([*batch.columns, step(batch.column(column)).cast(kind)], [*batch.schema.names, name])
+        finally:
+            getattr(step, "close", int)()
+            del step
+            tidy()
 
     return df.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in df.schema), T.StructField(name, result)])), name
 
 
+def tidy() -> None:
+    """Give memory that a task has freed back to the system, as Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only some C libraries have it
+        pass
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with :func:`tidy` at its end."""
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return around
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -122,14 +163,14 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """BASE ** (0 .. n-1), or its inverse's; kept up to a few million."""
+    """BASE ** (0 .. n-1), or its inverse's; kept up to two million."""
     held = _POWERS.get(inverse)
     if held is None or len(held) < n:
         size = 1 << max(16, int(n - 1).bit_length() if n > 1 else 0)
         held = np.full(size, BASE_INVERSE if inverse else BASE, np.uint64)
         held[0] = 1
         np.multiply.accumulate(held, out=held)
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _POWERS[inverse] = held
     return held[:n]
 

@@ -172,7 +172,7 @@ def matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
 
             return step
 
-        df, name = with_struct(df, text, RESULT, make, "bench", 4 << 20)
+        df, name = with_struct(df, text, RESULT, make, "bench", 2 << 20)
         structs.append(name)
     if blocks == 1:
         return df, structs[0]

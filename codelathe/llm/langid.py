@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelathe.llm.common import opened, slices, table, with_struct
+from codelathe.llm.common import opened, slices, table, tidied, with_struct
 
 UNKNOWN = "und"
 #: Length of a profile and longest n-gram.
@@ -111,7 +111,7 @@ def counts(df: DataFrame, text: str = "text", lang: str = "lang", longest: int =
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(key), pa.string()), pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     rows = df.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("t is not null and l is not null")
-    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidied(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", length: int = PROFILE, longest: int = LONGEST) -> dict[str, list[int]]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelathe.llm.common import buffers, cut, fresh, mixed, powers, prefix_hash, range_hash, slices, table
+from codelathe.llm.common import buffers, cut, fresh, mixed, powers, prefix_hash, range_hash, slices, small_batches, table, tidied
 
 LENGTH = 200
 ANCHOR = 40
@@ -218,7 +218,7 @@ def _anchor_rows(docs: DataFrame, length: int, k: int, places: bool) -> DataFram
                 else:
                     yield pa.RecordBatch.from_arrays([h], ["h"])
 
-    return docs.select("t", "text").mapInArrow(run, "t binary, h long, b int, e int") if places else docs.select("text").mapInArrow(run, "h long")
+    return docs.select("t", "text").mapInArrow(tidied(run), "t binary, h long, b int, e int") if places else docs.select("text").mapInArrow(tidied(run), "h long")
 
 
 def _segments(texts: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def _segments(texts: DataFrame) -> DataFrame:
                 parts = [raw[x:y] for x, y in zip((low + b.to_numpy()).tolist(), (low + e.to_numpy()).tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column("t").take(pa.array(of)), flat.field("h"), flat.field("n"), b, pa.array(parts, pa.binary())], ["t", "h", "n", "b", "seg"])
 
-    return texts.mapInArrow(run, "t binary, h long, n long, b int, seg binary")
+    return texts.mapInArrow(tidied(run), "t binary, h long, n long, b int, seg binary")
 
 
 def _indexed(segments: DataFrame, length: int, index_bytes: int) -> DataFrame:
@@ -269,7 +269,7 @@ def _indexed(segments: DataFrame, length: int, index_bytes: int) -> DataFrame:
         yield spans()
 
     placed = segments.repartition("h").sortWithinPartitions("h")
-    return placed.select("t", "h", "n", "b", "seg").mapInArrow(run, "t binary, b int, e int")
+    return placed.select("t", "h", "n", "b", "seg").mapInArrow(tidied(run), "t binary, b int, e int")
 
 
 def _windowed(segments: DataFrame, length: int) -> DataFrame:
@@ -288,13 +288,14 @@ def _windowed(segments: DataFrame, length: int) -> DataFrame:
                 b = np.repeat(batch.column("b").to_numpy(), each) + offset
                 yield pa.RecordBatch.from_arrays([batch.column("t").take(pa.array(of)), batch.column("n").take(pa.array(of)), pa.array(b, pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["t", "n", "b", "f", "g"])
 
-    rows = segments.select("t", "n", "b", "seg").mapInArrow(run, "t binary, n long, b int, f long, g long")
+    rows = segments.select("t", "n", "b", "seg").mapInArrow(tidied(run), "t binary, n long, b int, f long, g long")
     twice = rows.groupBy("f", "g").agg(F.sum("n").alias("n")).where("n > 1").select("f", "g")
     return rows.join(twice, ["f", "g"]).select("t", "b", (F.col("b") + length).alias("e"))
 
 
 def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, most: int = MOST, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """(t, spans): the digest of each text that holds repeated strings, and what they cover, in no order."""
+    small_batches(docs.sparkSession)
     keyed = docs.select(digest(text).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
     # Map-side sums first: an anchor of all documents is one row from each task.
     repeated = _anchor_rows(keyed, length, anchor, False).groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
@@ -356,7 +357,7 @@ def _with_spans(docs: DataFrame, text: str, result: T.StructType, row, **how) ->
                 struct = pa.StructArray.from_arrays([pa.array([r[n] for r in rows], f.type) for n, f in enumerate(kind)], result.names)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), struct], [*columns, out])
 
-    return joined.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField(out, result)])), out
+    return joined.mapInArrow(tidied(run), T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField(out, result)])), out
 
 
 def removed(docs: DataFrame, text: str = "text", **how) -> tuple[DataFrame, str]:

@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelathe.llm.common import buffers, mixed, opened, range_hash, slices, table, with_struct, word_ranges
+from codelathe.llm.common import buffers, mixed, opened, range_hash, slices, table, tidied, with_struct, word_ranges
 
 #: Most labelled rows that a fit uses.
-SAMPLE = 12_000
+SAMPLE = 10_000
 BUCKETS = 22
 #: Word beginnings of so many bytes are features beside whole words, as inflected forms share them.
 STEMS = (4, 5, 6)
@@ -119,40 +119,50 @@ def fit_linear(x: np.ndarray, before: np.ndarray, y: np.ndarray, steps: int = ST
     return Linear(w, b)
 
 
-def chosen_features(who: np.ndarray, bucket: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets with the largest z-scores of the difference of their shares, strongest for label 1 first; and the z-scores."""
-    total = np.bincount(bucket, minlength=1 << BUCKETS)
-    ones = np.bincount(bucket, y[who], 1 << BUCKETS)
+def chosen_features(rows: list[np.ndarray], y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets with the largest z-scores of the difference of their shares, strongest for label 1 first; and the z-scores.
+
+    ``rows`` has each text's distinct buckets.
+    """
+    total, ones = np.zeros(1 << BUCKETS, np.int32), np.zeros(1 << BUCKETS, np.int32)
+    for row, label in zip(rows, y):
+        total[row] += 1
+        if label:
+            ones[row] += 1
+    some = np.flatnonzero(total >= 3)
+    total, ones = total[some].astype(float), ones[some].astype(float)
     n1, n0 = max(1.0, float(y.sum())), max(1.0, float(len(y) - y.sum()))
     share = total / (n1 + n0)
     z = (ones / n1 - (total - ones) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-    some = np.flatnonzero(total >= 3)
-    some = some[np.argsort(-np.abs(z[some]), kind="stable")[:most]]
-    some = some[np.argsort(-z[some], kind="stable")]
-    return some, z[some]
+    order = np.argsort(-np.abs(z), kind="stable")[:most]
+    order = order[np.argsort(-z[order], kind="stable")]
+    return some[order], z[order]
 
 
-def fit_chain(who: np.ndarray, bucket: np.ndarray, labels: dict[str, np.ndarray], features: int = FEATURES, folds: int = FOLDS) -> Chain:
-    """A chain over ``labels`` in their order, from rows of distinct buckets."""
-    rows = len(next(iter(labels.values())))
-    last = list(labels.values())[-1]
-    some, _ = chosen_features(who, bucket, last, features)
-    x = np.zeros((rows, len(some)), np.float32)
+def matrix(rows: list[np.ndarray], features: np.ndarray) -> np.ndarray:
+    """Which of ``features`` each text has."""
     place = np.full(1 << BUCKETS, -1, np.int32)
-    place[some] = np.arange(len(some))
-    k = place[bucket]
-    x[who[k >= 0], k[k >= 0]] = 1
-    fold = np.arange(rows) % folds
-    odds, models = np.zeros((rows, 0)), []
-    for n, y in enumerate(labels.values()):
+    place[features] = np.arange(len(features))
+    x = np.zeros((len(rows), len(features)), np.float32)
+    for n, row in enumerate(rows):
+        k = place[row]
+        x[n, k[k >= 0]] = 1
+    return x
+
+
+def fit_chain(x: np.ndarray, features: np.ndarray, labels: dict[str, np.ndarray], folds: int = FOLDS) -> Chain:
+    """A chain over ``labels`` in their order, from a matrix of features."""
+    fold = np.arange(len(x)) % folds
+    odds, models, outside = np.zeros((len(x), 0)), [], np.zeros(len(x))
+    for y in labels.values():
         models.append(fit_linear(x, odds, y))
-        outside = np.zeros(rows)
+        outside = np.zeros(len(x))
         for f in range(folds):
             here = fold == f
             if here.any():
                 outside[here] = fit_linear(x[~here], odds[~here], y[~here]).margin(x[here], odds[here])
         odds = np.column_stack([odds, np.clip(outside, -6, 6)])
-    return Chain(list(labels), some, models, best_threshold(outside, last))
+    return Chain(list(labels), features, models, best_threshold(outside, y))
 
 
 def best_threshold(margin: np.ndarray, y: np.ndarray) -> float:
@@ -167,14 +177,11 @@ def best_threshold(margin: np.ndarray, y: np.ndarray) -> float:
     return float(sigmoid((margin[n] + margin[n + 1]) / 2 if n + 1 < len(y) else margin[n]))
 
 
-def categories_of(who: np.ndarray, bucket: np.ndarray, toxic: np.ndarray) -> dict[str, np.ndarray]:
-    """Labels of the chain's categories from the one label there is."""
+def categories_of(x: np.ndarray, z: np.ndarray, toxic: np.ndarray) -> dict[str, np.ndarray]:
+    """Labels of the chain's categories from the one label there is; ``z`` are the features' scores, strongest first."""
     severe = np.zeros(len(toxic))
     if toxic.any():
-        telling, z = chosen_features(who, bucket, toxic, FEATURES)
-        mark = np.zeros(1 << BUCKETS, bool)
-        mark[telling[z > 0][:TELLING]] = True
-        count = np.bincount(who, mark[bucket], len(toxic))
+        count = x[:, : min(TELLING, int((z > 0).sum()))].sum(1)
         severe = ((toxic > 0) & (count >= max(1.0, float(np.median(count[toxic > 0]))))).astype(float)
     return {"severe": severe, "toxic": toxic}
 
@@ -193,16 +200,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("y"), each], ["i", "y", "b"])
 
     rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("d") == F.col("i")).select("i", "y", "t")
-    held = rows.mapInArrow(run, T.StructType([rows.schema["i"], rows.schema["y"], T.StructField("b", T.ArrayType(T.IntegerType()))])).limit(2 * sample).toArrow()
+    held = rows.mapInArrow(tidied(run), T.StructType([rows.schema["i"], rows.schema["y"], T.StructField("b", T.ArrayType(T.IntegerType()))])).limit(2 * sample).toArrow()
     order = sorted(range(held.num_rows), key=lambda n, i=held["i"].to_pylist(), y=held["y"].to_pylist(): (i[n], y[n]))
-    held = held.take(pa.array(order, pa.int64()))
-    lists = held["b"].combine_chunks()
-    size = np.diff(np.array(lists.offsets))
-    toxic = (np.array(held["y"].to_pylist(), float) > 0.5).astype(float)
+    toxic = (np.array(held["y"].to_pylist(), float)[order] > 0.5).astype(float)
     if not len(toxic):
         return Chain(list(CATEGORIES), np.zeros(0, np.int64), [Linear(np.zeros(n), -40.0) for n in range(len(CATEGORIES))])
-    who, bucket = np.repeat(np.arange(len(size)), size), np.array(lists.flatten(), np.int64)
-    return fit_chain(who, bucket, categories_of(who, bucket, toxic))
+    lists = held["b"].combine_chunks()
+    at, flat = np.array(lists.offsets), lists.values.to_numpy()
+    rows = [flat[at[n] : at[n + 1]] for n in order]
+    features, z = chosen_features(rows, toxic, FEATURES)
+    x = matrix(rows, features)
+    del rows, flat, lists, held
+    return fit_chain(x, features, categories_of(x, z, toxic))
 
 
 def predict(df: DataFrame, chain: Chain, text: str = "text", threshold: float | None = None) -> tuple[DataFrame, str]:

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelathe.llm.common import shared_path, slices, table
+from codelathe.llm.common import shared_path, slices, table, tidied
 
 LEAST = 100
 #: Uncompressed bytes after which a frame ends, and after which a bundle ends.
@@ -238,7 +238,7 @@ def bundles(plan: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes: int =
         if writer.index:
             yield row()
 
-    return plan.mapInArrow(run, "name string, n_records long, content binary")
+    return plan.mapInArrow(tidied(run), "name string, n_records long, content binary")
 
 
 def read(stored: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def read(stored: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return stored.select("content").mapInArrow(run, ROW)
+    return stored.select("content").mapInArrow(tidied(run), ROW)
 
 
 def archive(pages: DataFrame, path: str, **names: str) -> DataFrame:
