@@ -15,7 +15,8 @@ CODE_WORDS = ("code", "function", "class", "method", "error")
 
 
 def clamp(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """In [0, 1]; null stays null, as the bounds' functions skip nulls."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def components(vector: Column, tools: Column, tools_ok: Column, items: Column, relevant: Column, quality: Column, clarity: Column) -> dict[str, Column]:
@@ -30,7 +31,7 @@ def components(vector: Column, tools: Column, tools_ok: Column, items: Column, r
 
 def score(parts: dict[str, Column]) -> Column:
     """The weighted sum in [0, 1]; 0.1 if a part is null."""
-    return F.coalesce(clamp(sum((parts[k] * w for k, w in WEIGHTS.items()), F.lit(0.0))), F.when(F.lit(True), 0.1))
+    return F.coalesce(clamp(sum((parts[k] * w for k, w in WEIGHTS.items()), F.lit(0.0))), F.lit(0.1))
 
 
 def rating(value: Column) -> Column:

@@ -53,7 +53,7 @@ def nearest_of_queries(spark: SparkSession, d: str) -> DataFrame:
     pairs = e.join(F.broadcast(q) if q.count() <= 20_000 else q, F.col("vec_id") != F.col("qid"))
     s = pairs.select("qid", F.col("vec_id").alias("id"), F.round(cosine(F.col("embedding"), F.col("b")), 6).alias("similarity"))
     order = Window.partitionBy("qid").orderBy(F.desc("similarity"), "id")
-    return s.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    return s.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 5")
 
 
 @query("namespace_sizes", "SELECT label AS namespace, count(*) AS n, min(len(embedding)) AS dims FROM embeddings GROUP BY label")
