@@ -33,8 +33,8 @@ from codelathe.llm.common import opened, table, with_struct
 #: Fixed values of the vocabulary file's pre-tokenizer.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+", regex.V1)
 WORD_END = "</w>"
-#: Distinct words whose encodings a task keeps; beyond it the store starts anew.
-KEPT_WORDS = 150_000
+#: Distinct words whose encodings a task keeps: those of two generations, of which the older goes when the younger is full.
+KEPT_WORDS = 240_000
 #: Pairs of tokens whose side-by-side test a task keeps.
 KEPT_PAIRS = 300_000
 
@@ -53,6 +53,12 @@ def byte_letters() -> list[str]:
     return out
 
 
+def endings(tokens: dict[str, int]) -> dict[str, int]:
+    out = {t[at:]: -1 for t in tokens for at in range(len(t))}
+    out.update(tokens)
+    return out
+
+
 class TrieCodec:
     """Encoder and decoder of one vocabulary file (JSON of the tokenizers library, words ending in ``</w>``)."""
 
@@ -71,7 +77,8 @@ class TrieCodec:
         self.inner = {t: i for t, i in vocab.items() if not t.endswith(WORD_END) or t == WORD_END}
         self.final = {t[: -len(WORD_END)]: i for t, i in vocab.items() if t.endswith(WORD_END) and t != WORD_END}
         self.length = {i: len(t) for t, i in self.inner.items()} | {i: len(t) for t, i in self.final.items()}
-        self.longest = max(self.length.values(), default=1)
+        # Every ending of every token, with the token that it is or -1: a search for tokens at a place stops at the first string that ends none.
+        self.inner_ends, self.final_ends = endings(self.inner), endings(self.final)
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for n, pair in enumerate(model["merges"]):
@@ -82,6 +89,8 @@ class TrieCodec:
         self.left: dict[int, list[tuple[int, float]]] = {}
         self.beside: dict[tuple[int, int], bool] = {}
         self.kept: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
+        self.id_text = {i: str(i) for i in self.text_of}
 
     def _side(self, token: int, which: int) -> list[tuple[int, float]]:
         """Parts on the token's left (0) or right (1) side, each with the rank of the merge that uses it up."""
@@ -112,11 +121,20 @@ class TrieCodec:
             self.beside[before, token] = found
         return found
 
-    def _last(self, word: str, depth: int, states: list[int], tokens: dict[str, int]) -> int:
+    def _last(self, word: str, depth: int, states: list[int], ends: dict[str, int]) -> int:
         """The last token of the encoding of ``word[:depth]``."""
-        for n in range(min(depth, self.longest), 0, -1):
-            token = tokens.get(word[depth - n : depth])
-            if token is not None and (n == depth or self.may_follow(states[depth - n], token)):
+        found, beside = [], self.beside
+        for at in range(depth - 1, -1, -1):
+            token = ends.get(word[at:depth])
+            if token is None:
+                break
+            if token >= 0:
+                found.append((at, token))
+        for at, token in reversed(found):
+            if not at:
+                return token
+            good = beside.get((states[at], token))
+            if good or good is None and self.may_follow(states[at], token):
                 return token
         raise ValueError(f"no encoding of {word[:depth]!r}")
 
@@ -124,7 +142,7 @@ class TrieCodec:
         """Encodings of distinct non-empty words of byte letters."""
         out: dict[str, list[int]] = {}
         states, before = [-1], ""
-        inner, final, length = self.inner, self.final, self.length
+        inner, final, length = self.inner_ends, self.final_ends, self.length
         for word in sorted(words):
             same, most = 0, min(len(before), len(word) - 1)
             while same < most and before[same] == word[same]:
@@ -143,17 +161,25 @@ class TrieCodec:
             before = word
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Keep the id string and the decoded string of each word."""
-        new = [w for w in words if w not in self.kept]
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept, new = {}, list(words)
-        spelled = {w: w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letter) for w in new}
+    def learn(self, words: set[str]) -> dict[str, tuple[str, str]]:
+        """The id string and the decoded string of each word."""
+        young, old, new = self.kept, self.older, []
+        if len(young) > KEPT_WORDS // 2:
+            young, old = {}, young
+            self.kept, self.older = young, old
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
+        spelled = {w: w if w.isascii() and w.isprintable() else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letter) for w in new}
         codes = self.encode_words(list(set(spelled.values())))
-        text_of = self.text_of
+        id_text, text_of = self.id_text, self.text_of
         for w, s in spelled.items():
             ids = codes[s]
-            self.kept[w] = " ".join(map(str, ids)), " ".join([text_of[i] for i in ids])
+            young[w] = " ".join([id_text[i] for i in ids]), " ".join([text_of[i] for i in ids])
+        return young
 
     def pieces(self, text: str) -> list[str]:
         """The text's words in order; special tokens stand as they are."""
@@ -169,15 +195,14 @@ class TrieCodec:
         pieces = [self.pieces(t) for t in texts]
         words = {w for p in pieces for w in p}
         named = words & self.special.keys()
-        self.learn(words - named)
-        kept = self.kept
+        kept = self.learn(words - named)
         for s in named:
             kept[s] = str(self.special[s]), s
         return [(" ".join([kept[w][0] for w in p]), " ".join([kept[w][1] for w in p])) for p in pieces]
 
     def forget(self) -> None:
         """Drop what has been kept for later texts."""
-        self.kept, self.beside = {}, {}
+        self.kept, self.older, self.beside = {}, {}, {}
 
     def decode(self, ids: list[int]) -> str:
         """The library's decode without a decoder: token strings joined by one space; unknown ids are left out."""
