@@ -34,7 +34,7 @@ from codelathe.llm.common import opened, table, with_struct
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+", regex.V1)
 WORD_END = "</w>"
 #: Distinct words whose encodings a task keeps: those of two generations, of which the older goes when the younger is full.
-KEPT_WORDS = 240_000
+KEPT_WORDS = 160_000
 #: Pairs of tokens whose side-by-side test a task keeps.
 KEPT_PAIRS = 300_000
 
@@ -200,10 +200,6 @@ class TrieCodec:
             kept[s] = str(self.special[s]), s
         return [(" ".join([kept[w][0] for w in p]), " ".join([kept[w][1] for w in p])) for p in pieces]
 
-    def forget(self) -> None:
-        """Drop what has been kept for later texts."""
-        self.kept, self.older, self.beside = {}, {}, {}
-
     def decode(self, ids: list[int]) -> str:
         """The library's decode without a decoder: token strings joined by one space; unknown ids are left out."""
         return " ".join(self.text_of[i] for i in ids if i in self.text_of)
@@ -220,6 +216,11 @@ def codec(path: str) -> TrieCodec:
     return TrieCodec(path)
 
 
+def forget() -> None:
+    """Drop the codecs at a task's end: Python workers live on, and their memory counts."""
+    codec.cache_clear()
+
+
 def vocabulary(path: str | None = None) -> str:
     import public_tokenizers
 
@@ -237,7 +238,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None) -> tuple[
             found = held.encode_texts([x or "" for x in array.to_pylist()])
             return pa.StructArray.from_arrays([pa.array([[int(i) for i in a.split()] for a, _ in found], pa.list_(pa.int32())), pa.array([b for _, b in found], pa.string())], ["ids", "decoded"])
 
-        step.close = held.forget
+        step.close = forget
         return step
 
     return with_struct(df, text, FULL, make, "bpe", 1 << 20)
@@ -255,7 +256,7 @@ def digests(df: DataFrame, text: str = "text", path: str | None = None) -> tuple
             sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
             return pa.StructArray.from_arrays([pa.array([a.count(" ") + 1 if a else 0 for a, _ in found], pa.int64()), pa.array([sha(a) for a, _ in found], pa.string()), pa.array([sha(b) for _, b in found], pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-        step.close = held.forget
+        step.close = forget
         return step
 
     return with_struct(df, text, RESULT, make, "bpe")

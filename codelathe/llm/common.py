@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -116,6 +117,7 @@ def with_struct(df: DataFrame, column: str, result: T.StructType, make: Callable
 
 def tidy() -> None:
     """Give memory that a task has freed back to the system, as Python workers outlive their tasks."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
