@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from codelathe.plans import catalog, queries  # noqa: F401
+from codelathe.plans import analysis, catalog, queries  # noqa: F401
 from tests.conftest import SF
 
 
