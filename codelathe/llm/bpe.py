@@ -74,11 +74,11 @@ class TrieCodec:
         letters = byte_letters()
         self.letter = {ord(chr(b)): letters[b] for b in range(256)}
         # A token as a string of letters; the word end is one more letter, so lengths count letters only.
-        self.inner = {t: i for t, i in vocab.items() if not t.endswith(WORD_END) or t == WORD_END}
-        self.final = {t[: -len(WORD_END)]: i for t, i in vocab.items() if t.endswith(WORD_END) and t != WORD_END}
-        self.length = {i: len(t) for t, i in self.inner.items()} | {i: len(t) for t, i in self.final.items()}
+        inner = {t: i for t, i in vocab.items() if not t.endswith(WORD_END) or t == WORD_END}
+        final = {t[: -len(WORD_END)]: i for t, i in vocab.items() if t.endswith(WORD_END) and t != WORD_END}
+        self.length = {i: len(t) for t, i in inner.items()} | {i: len(t) for t, i in final.items()}
         # Every ending of every token, with the token that it is or -1: a search for tokens at a place stops at the first string that ends none.
-        self.inner_ends, self.final_ends = endings(self.inner), endings(self.final)
+        self.inner_ends, self.final_ends = endings(inner), endings(final)
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for n, pair in enumerate(model["merges"]):

@@ -116,7 +116,8 @@ def with_struct(df: DataFrame, column: str, result: T.StructType, make: Callable
 
 
 def tidy() -> None:
-    """Give memory that a task has freed back to the system, as Python workers outlive their tasks."""
+    """Drop the kept powers and give memory that a task has freed back to the system, as Python workers outlive their tasks."""
+    _POWERS.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -165,7 +166,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """BASE ** (0 .. n-1), or its inverse's; kept up to two million."""
+    """BASE ** (0 .. n-1), or its inverse's; up to two million are kept until the task ends."""
     held = _POWERS.get(inverse)
     if held is None or len(held) < n:
         size = 1 << max(16, int(n - 1).bit_length() if n > 1 else 0)
