@@ -5,10 +5,14 @@ A line's ratio is its characters over its tags; ratios are smoothed with a
 Gaussian kernel and split into two clusters, whose midpoint is the threshold.
 The lines above it are seeds. The container that holds their text is the content
 region: the article or main element with most of it, or else the innermost
-element with nearly all of it. All lines of the region are content, short ones
-too, but for those in menus, headers, footers, sidebars, notices, adverts, forms
-and reader comments inside it. Where only the body holds the seeds, the region
-runs from the first to the last of them.
+element with all of it, or the body's stretch from the first seed to the last
+with all of each element in the body that holds seeds.
+A region without article or main then grows to each element around it that adds
+no frame of the page (menu, header, footer, sidebar), and over the headings and
+paragraphs before and after it up to other text. All lines of the region are
+content, short ones too, but for those in menus, headers, footers, sidebars,
+notices, adverts, forms and reader comments inside it. What it grows over leaves
+out lists of links.
 
 Defined results: null or empty html gives an empty text. Unclosed elements end
 with the element around them. Character references are decoded, white space in
@@ -29,8 +33,6 @@ from codelathe.llm.common import opened, table, with_struct
 
 SIGMA = 1.0
 RADIUS = 2
-#: Share of the seeds' text that makes an unnamed container the region.
-NEARLY_ALL = 0.95
 
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
@@ -41,7 +43,14 @@ ASIDE = frozenset("nav aside footer form fieldset dialog menu".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert newsletter subscribe subscription popup modal overlay sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus respond share sharing social related recommended widget pagination toolbar login signup".split()
 )
+#: Of these, the ones around the content; others are inside it as often.
+FRAME = frozenset("nav aside footer header menu".split())
+FRAME_WORDS = frozenset("sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer banner".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BODY = frozenset(("", "html", "body"))
+#: Blocks of running text; a text directly in the body is one too.
+PROSE = HEADINGS | BODY | frozenset("p pre li dt dd blockquote figcaption caption address summary".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NAMES = re.compile(r"[a-z]+")
 
@@ -54,11 +63,14 @@ class Lines(HTMLParser):
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.places: list[int] = []
-        self.parents, self.names, self.aside = [-1], [""], [False]
+        self.kinds: list[str] = []
+        self.linked: list[int] = []
+        self.parents, self.names, self.aside, self.frame = [-1], [""], [False], [False]
         self.stack = [0]
         self.muted: list[str] = []
         self.parts: list[str] = []
         self.count = 0
+        self.block, self.anchor, self.links = "", False, 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -66,7 +78,9 @@ class Lines(HTMLParser):
             self.texts.append(text)
             self.tags.append(self.count)
             self.places.append(self.stack[-1])
-        self.parts, self.count = [], 0
+            self.kinds.append(self.block)
+            self.linked.append(self.links)
+        self.parts, self.count, self.links = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.muted:
@@ -85,11 +99,16 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         elif tag in BLOCKS:
             self.end_line()
+            self.block = tag
             if tag in CONTAINERS:
+                aside = self.is_aside(tag, attrs)
                 self.parents.append(self.stack[-1])
                 self.names.append(tag)
-                self.aside.append(self.aside[self.stack[-1]] or self.is_aside(tag, attrs))
+                self.aside.append(self.aside[self.stack[-1]] or aside)
+                self.frame.append(self.frame[self.stack[-1]] or aside and self.is_frame(tag, attrs))
                 self.stack.append(len(self.names) - 1)
+        elif tag == "a":
+            self.anchor = True
         self.count += 1
 
     def is_aside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -106,6 +125,9 @@ class Lines(HTMLParser):
                 return True
         return False
 
+    def is_frame(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        return tag in FRAME or any(name == "role" and value in ASIDE_ROLES or name in ("class", "id") and value and not FRAME_WORDS.isdisjoint(_NAMES.findall(value.lower())) for name, value in attrs)
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag in NEVER:
@@ -124,12 +146,16 @@ class Lines(HTMLParser):
                     if self.names[self.stack[depth]] == tag:
                         del self.stack[depth:]
                         break
+            self.block = self.names[self.stack[-1]]
         else:
+            self.anchor = self.anchor and tag != "a"
             self.count += 1
 
     def handle_data(self, data: str) -> None:
         if not self.muted:
             self.parts.append(data)
+            if self.anchor:
+                self.links += len(data.strip())
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) -> np.ndarray:
@@ -178,12 +204,48 @@ def region(page: Lines) -> list[int]:
     if outer and max(mass[k] for k in outer) >= 0.5 * total:
         best = max(outer, key=lambda k: (mass[k], -k))
     else:
-        best = max((k for k in range(len(page.names)) if mass[k] >= NEARLY_ALL * total), key=lambda k: (len(_above(page, k)), -k))
-    lines = [n for n in np.flatnonzero(good).tolist() if best == page.places[n] or best in _above(page, page.places[n])]
-    if page.names[best] in ("", "html", "body"):
-        at = np.flatnonzero(seeds)
-        lines = [n for n in lines if at[0] <= n <= at[-1]]
-    return lines
+        return _unnamed(page, good, seeds, mass)
+    return _inside(page, good, best)
+
+
+def _unnamed(page: Lines, good: np.ndarray, seeds: np.ndarray, mass: np.ndarray) -> list[int]:
+    """The region where no article or main has most of the seeds."""
+    best = max(np.flatnonzero(mass >= mass[0]).tolist(), key=lambda k: (len(_above(page, k)), -k))
+    at = np.flatnonzero(seeds)
+    lines = set(_inside(page, good, best))
+    if page.names[best] in BODY:
+        tops = {n: next((k for k in reversed([page.places[n], *_above(page, page.places[n])]) if page.names[k] not in BODY), None) for n in lines}
+        held = {tops[n] for n in at.tolist()} - {None}
+        lines = {n for n in lines if at[0] <= n <= at[-1] or tops[n] in held}
+    else:
+        chain = [k for k in _above(page, best) if page.names[k] not in BODY]
+        order, added = {k: i for i, k in enumerate(chain)}, [[] for _ in chain]
+        for n, text in enumerate(page.texts):
+            if text and n not in lines:
+                i = next((order[k] for k in [page.places[n], *_above(page, page.places[n])] if k in order), None)
+                if i is not None:
+                    added[i].append(n)
+        for new in added:
+            if any(page.frame[page.places[n]] for n in new):
+                break
+            lines.update(n for n in new if good[n] and not _menu(page, n))
+    first, last = min(lines), max(lines)
+    for side in (range(first - 1, -1, -1), range(last + 1, len(good))):
+        for n in side:
+            if good[n] and not _menu(page, n):
+                if page.kinds[n] not in PROSE:
+                    break
+                lines.add(n)
+    return sorted(lines)
+
+
+def _inside(page: Lines, which: np.ndarray, k: int) -> list[int]:
+    return [n for n in np.flatnonzero(which).tolist() if k == page.places[n] or k in _above(page, page.places[n])]
+
+
+def _menu(page: Lines, n: int) -> bool:
+    """Whether a line that is no heading or paragraph is mostly links."""
+    return page.kinds[n] not in HEADINGS and page.kinds[n] != "p" and 2 * page.linked[n] > len(page.texts[n])
 
 
 def _above(page: Lines, k: int) -> list[int]:

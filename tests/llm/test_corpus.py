@@ -66,6 +66,26 @@ def test_main_text():
     assert html.main_text("<article><p>unclosed <b>text") == "unclosed text"
 
 
+def block(n: int, tag: str = "p") -> str:
+    return f"<{tag}>{'x' * n}</{tag}>"
+
+
+def test_main_text_around_the_seeds():
+    sizes = lambda page: [len(x) for x in html.main_text(page).split("\n")]
+    body = "<div class=body>" + block(700) * 8 + "</div>"
+    frame = "<nav><a href=/>Home</a></nav>{}<footer>Imprint</footer>"
+    inside = frame.format(f"<div id=content>{block(40, 'h1')}{block(200)}{body}</div>")
+    assert sizes(inside) == [40, 200, *[700] * 8]
+    assert sizes(f"<div id=wrap>{inside}</div>") == [40, 200, *[700] * 8]
+    shared = f"<div id=content>{block(40, 'h1')}<div class=share>Share</div>{block(80, 'div')}{body}{block(30)}</div>"
+    assert sizes(frame.format(shared)) == [40, 80, *[700] * 8, 30]
+    for lines in ([30, 200, 900, 150, 120, 100], [40, 90, 600, 700, 650, 60, 30]):
+        text = block(lines[0], "h1") + "".join(map(block, lines[1:]))
+        assert sizes(f"<body>{frame.format(text)}") == lines
+        assert sizes(f"<body>{block(7, 'div')}<ul><li><a href=/>Home</a></ul>{text}{block(9, 'div')}") == lines
+    assert sizes(f"<body><div>{block(20, 'div')}{block(60, 'div')}{block(900) * 6}</div><div>{block(150)}</div>")[:2] == [20, 60]
+
+
 def test_smoothing_and_threshold():
     assert html.smoothed(np.ones(5)) == pytest.approx(np.ones(5))
     assert 1 < html.threshold(np.array([0.0, 1.0, 10.0, 11.0])) < 10
