@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +17,8 @@ _FIELD = re.compile(r"^\s*((?:@\w+(?:\([^)]*\))?\s+)*)(?:(?:private|protected|pu
 _CATCH = re.compile(r"catch\s*\(\s*(?:final\s+)?([\w.|\s]+?)\s+\w+\s*\)")
 _WORDS = frozenset("if for while switch catch return new else try synchronized throw super this assert".split())
 
+#: Levels of dependents after which those found so far are put together.
+MERGED_LEVELS = 8
 SCHEMA = "kind string, path string, package string, owner string, name string, target string, line int, modifiers string, args int, result string"
 
 
@@ -175,12 +178,28 @@ def propagation(found: DataFrame, calls: DataFrame, exception: str, depth: int =
     return seen
 
 
-def dependents(references: DataFrame, direct: DataFrame, depth: int = 6) -> DataFrame:
-    """(name): classes that reach ``direct`` (name) over references (source, target), without those themselves."""
-    seen = front = direct.select("name").distinct()
-    for _ in range(depth):
-        front = references.join(front.select(F.col("name").alias("target")), "target").select(F.col("source").alias("name")).distinct().join(seen, "name", "left_anti")
+def _cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared checkpoint folder; a temporary one only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="codelathe-"))
+    return df.checkpoint(eager=True)
+
+
+def dependents(references: DataFrame, direct: DataFrame) -> DataFrame:
+    """(name): classes that reach ``direct`` (name) over references (source, target), at any distance, without those themselves.
+
+    One join a level, until a level has no new class; each level is materialised.
+    """
+    edges = _cut(references.select("source", "target").distinct())
+    seen = front = _cut(direct.select("name").distinct())
+    level = 0
+    while not front.isEmpty():
+        level += 1
+        front = _cut(edges.join(front.select(F.col("name").alias("target")), "target").select(F.col("source").alias("name")).distinct().join(seen, "name", "left_anti"))
         seen = seen.unionAll(front)
+        if level % MERGED_LEVELS == 0:
+            seen = _cut(seen.distinct())
     return seen.distinct().join(direct.select("name"), "name", "left_anti")
 
 

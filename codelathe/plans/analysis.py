@@ -67,7 +67,7 @@ def steps_of_file(spark: SparkSession, d: str) -> DataFrame:
 def transitive_dependents(spark: SparkSession, d: str) -> DataFrame:
     edges = _edges(spark, d)
     direct = edges.where("source = 'nation:4' or source = 'region:1'").select(F.col("target").alias("name"))
-    return javagraph.dependents(edges, direct, 3)
+    return javagraph.dependents(edges, direct)
 
 
 @query("interface_implementations", "SELECT 'region:' || n_regionkey AS interface, array_to_string(list_sort(list(DISTINCT n_name)), ',') AS implementations FROM nation GROUP BY 1")

@@ -52,6 +52,12 @@ def test_dependents_and_numbers(spark):
     assert [(r["index"], r.id) for r in j.node_link(refs).orderBy("index").collect()] == [(0, "a"), (1, "b"), (2, "c"), (3, "y"), (4, "z")]
 
 
+def test_dependents_at_any_distance(spark):
+    refs = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(20)] + [("n15", "n20"), ("n0", "n3")], "source string, target string")
+    assert sorted(r.name for r in j.dependents(refs, spark.createDataFrame([("n0",)], "name string")).collect()) == sorted(f"n{i}" for i in range(1, 21))
+    assert j.dependents(refs, spark.createDataFrame([], "name string")).count() == 0
+
+
 def test_store(spark):
     row = spark.createDataFrame([("d", None, ["x", "y"], "code")], "a string, b string, c array<string>, e string")
     assert row.select(store.combined_text(*map(F.col, "abce")).alias("t")).first().t == "Description: d\n\nCapabilities:\n- x\n- y\n\nCode:\ncode"
