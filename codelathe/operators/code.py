@@ -42,19 +42,23 @@ def component_type(content: Column, name: Column) -> Column:
 
 
 def property_references(files: DataFrame, name: str) -> DataFrame:
-    """(path, class_name, component, kind, is_critical, access): uses of a property in the five direct forms."""
-    p = re.escape(name)
-    forms = {
-        "value": rf'@Value\(\s*"\$\{{{p}(?::[^}}]*)?\}}"',
-        "environment": rf'getProperty\(\s*"{p}"',
-        "properties": rf'(?:props|properties)\.get\(\s*"{p}"',
-        "prefix": rf'@ConfigurationProperties\([^)]*"{re.escape(name.rsplit(".", 1)[0])}"',
-        "conditional": rf'@ConditionalOnProperty\([^)]*"{p}"',
-    }
-    tests = F.array(*(F.when(F.col("content").rlike(x), F.lit(k)) for k, x in forms.items()))
+    """(path, class_name, component, kind, is_critical, access): each use of a property in the five direct forms; ``name`` may be a prefix and ``*``, for all properties that begin so, in the first two."""
+    prefix = name[:-1] if name.endswith("*") else None
+    p = re.escape(name) if prefix is None else re.escape(prefix)
+    forms = {"value": rf'@Value\(\s*"\$\{{{p}{"" if prefix is None else "[^:}]+"}(?::[^}}]*)?\}}"', "environment": rf'getProperty\(\s*"{p}{"" if prefix is None else "[^" + chr(34) + "]+"}"'}
+    if prefix is None:
+        forms |= {
+            "properties": rf'(?:props|properties)\.get\(\s*"{p}"',
+            "prefix": rf'@ConfigurationProperties\([^)]*"{re.escape(name.rsplit(".", 1)[0])}"',
+            "conditional": rf'@ConditionalOnProperty\([^)]*"{p}"',
+        }
+    uses = [(F.lit(k).alias("kind"), F.regexp_extract_all("content", F.lit(x), F.lit(0))) for k, x in forms.items()]
+    found = F.concat(*(F.arrays_zip(F.array_repeat(k, F.size(m)).alias("kind"), m.alias("match")) for k, m in uses))
     cls = class_name(F.col("content"))
-    access = F.when(F.col("kind") == "conditional", "conditional").when(F.col("content").rlike(rf"\$\{{{p}:"), "fallback").otherwise("direct")
-    hit = files.where(F.col("content").contains(name.rsplit(".", 1)[0])).select("path", "content", F.explode(F.array_compact(tests)).alias("kind"))
+    fallback = (F.col("kind") == "value") & F.col("match").rlike(r"\$\{[^:}]+:")
+    access = F.when(F.col("kind") == "conditional", "conditional").when(fallback, "fallback").otherwise("direct")
+    held = files.where(F.col("content").contains(name.rsplit(".", 1)[0] if prefix is None else prefix))
+    hit = held.select("path", "content", F.explode(found).alias("u")).select("path", "content", "u.kind", "u.match")
     return hit.select("path", cls.alias("class_name"), component_type(F.col("content"), cls).alias("component"), "kind", _any(cls, CRITICAL_NAMES).alias("is_critical"), access.alias("access"))
 
 

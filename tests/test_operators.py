@@ -170,6 +170,17 @@ def test_property_impact(spark):
     assert value(spark, code.is_db_property(F.lit("spring.jpa.x"))) and not value(spark, code.is_db_property(F.lit("app.name")))
 
 
+def test_each_property_use_counts(spark):
+    uses = "".join(f'@Value("${{app.url}}") String u{i}; ' for i in range(5)) + '@Value("${app.url:x}") String v; String s = env.getProperty("app.port");'
+    files = spark.createDataFrame([("A.java", f"package p; class A {{ {uses} }}"), ("C.java", "class C {}")], "path string, content string")
+    found = code.property_references(files, "app.url")
+    assert sorted(r.access for r in found.collect()) == ["direct"] * 5 + ["fallback"]
+    row = code.impact(found.withColumn("property", F.lit("app.url"))).first()
+    assert (row.n_references, row.n_classes, row.severity) == (6, 1, "MEDIUM")
+    for name in ("app.*", "app*"):
+        assert sorted((r.kind, r.access) for r in code.property_references(files, name).collect()) == [("environment", "direct"), *[("value", "direct")] * 5, ("value", "fallback")]
+
+
 def test_exception_patterns(spark):
     files = {
         "empty": "try {} catch (IOException e) { }",
