@@ -4,9 +4,10 @@ The standard library's parser streams its events into lines, one for each block.
 A line's ratio is its characters over its tags; ratios are smoothed with a
 Gaussian kernel and split into two clusters, whose midpoint is the threshold.
 The lines above it are seeds. The container that holds their text is the content
-region: the article or main element with most of it, or else the innermost
-element with all of it, or the body's stretch from the first seed to the last
-with all of each element in the body that holds seeds.
+region: all outermost article and main elements, where they have half of that
+text together, or else the innermost element with all of it, or the body's
+stretch from the first seed to the last with all of each element in the body
+that holds seeds.
 A region without article or main then grows to each element around it that adds
 no frame of the page (menu, header, footer, sidebar), and over the headings and
 paragraphs before and after it up to other text. All lines of the region are
@@ -199,13 +200,11 @@ def region(page: Lines) -> list[int]:
             mass[k] += sizes[n]
             k = page.parents[k]
     total = mass[0]
-    named = [k for k, x in enumerate(page.names) if x in ("article", "main") and not page.aside[k] and mass[k] > 0]
+    named = [k for k, x in enumerate(page.names) if x in ("article", "main") and not page.aside[k]]
     outer = [k for k in named if not any(p in named for p in _above(page, k))]
-    if outer and max(mass[k] for k in outer) >= 0.5 * total:
-        best = max(outer, key=lambda k: (mass[k], -k))
-    else:
-        return _unnamed(page, good, seeds, mass)
-    return _inside(page, good, best)
+    if sum(mass[k] for k in outer) >= 0.5 * total:
+        return sorted(n for k in outer for n in _inside(page, good, k))
+    return _unnamed(page, good, seeds, mass)
 
 
 def _unnamed(page: Lines, good: np.ndarray, seeds: np.ndarray, mass: np.ndarray) -> list[int]:

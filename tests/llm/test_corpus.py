@@ -86,6 +86,12 @@ def test_main_text_around_the_seeds():
     assert sizes(f"<body><div>{block(20, 'div')}{block(60, 'div')}{block(900) * 6}</div><div>{block(150)}</div>")[:2] == [20, 60]
 
 
+def test_all_articles_of_a_page():
+    lines = [(20, 900, 910), (21, 300, 310), (22, 320, 330)]
+    page = "<body><nav>Home</nav>" + "".join(f"<article>{block(a, 'h2')}{block(b)}{block(c)}</article>" for a, b, c in lines) + "<footer>Imprint</footer>"
+    assert [len(x) for x in html.main_text(page).split("\n")] == [n for x in lines for n in x]
+
+
 def test_smoothing_and_threshold():
     assert html.smoothed(np.ones(5)) == pytest.approx(np.ones(5))
     assert 1 < html.threshold(np.array([0.0, 1.0, 10.0, 11.0])) < 10
