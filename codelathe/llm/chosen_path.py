@@ -152,7 +152,7 @@ def forest(ids: list, sets: list[np.ndarray], least: int) -> list[tuple]:
 
 
 def compare(members: DataFrame, width: int, least: int) -> DataFrame:
-    """Links (a, b) within each node of (node, rep, text)."""
+    """Links (a, b) of ids within each node of (node, c, rep, text); each class c counts once."""
     kind = members.schema["rep"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,12 +166,12 @@ def compare(members: DataFrame, width: int, least: int) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text"):
                 flat, at = shingle_sets(*buffers(batch.column("text")), width)
-                for k, (n, rep) in enumerate(zip(batch.column("node").to_pylist(), batch.column("rep").to_pylist())):
+                for k, (n, c, rep) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("node", "c", "rep")))):
                     if n != node:
                         end()
                         node, ids, sets, seen = n, [], [], set()
-                    if rep not in seen:
-                        seen.add(rep)
+                    if c not in seen:
+                        seen.add(c)
                         ids.append(rep)
                         sets.append(flat[at[k] : at[k + 1]].copy())
                 if len(links) > 10_000:
@@ -186,7 +186,7 @@ def compare(members: DataFrame, width: int, least: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(kind)
-    placed = members.repartition("node").sortWithinPartitions("node", "rep")
+    placed = members.repartition("node").sortWithinPartitions("node", "rep", "c")
     return placed.mapInArrow(tidied(run), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
@@ -197,44 +197,44 @@ def child(node, level: int, tree: int):
 
 
 def small_nodes(classes: DataFrame, trees: list[int], node_rows: int, node_shingles: int) -> DataFrame:
-    """(node, rep) of the nodes to compare; ``classes`` has rep, n, tokens and component."""
+    """(node, c) of the nodes to compare; ``classes`` has c, n, tokens and component."""
     first = [x for tree in trees for node in child(F.lit(0).cast("long"), 0, tree) for x in child(node, 1, tree)]
-    frontier = classes.select("rep", "n", "component", F.explode(F.array(*first)).alias("node"))
+    frontier = classes.select("c", "n", "component", F.explode(F.array(*first)).alias("node"))
     level, found, open_ = MIN_LEVEL, [], frontier
     while True:
-        stats = open_.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(17), "rep")).alias("y"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+        stats = open_.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64(F.lit(17), "c")).alias("y"), F.min("component").alias("c0"), F.max("component").alias("c1"))
         stats = cut(stats.where("k > 1 and c0 <> c1").select("node", "k", "w", "x", "y"))
         fits = (F.col("k") <= node_rows) & (F.col("w") <= node_shingles)
         # Nodes with the same members are one node.
         once = stats.where(fits).groupBy("k", "x", "y").agg(F.min("node").alias("node"))
-        found.append(open_.join(once.select("node"), "node").select("node", "rep"))
+        found.append(open_.join(once.select("node"), "node").select("node", "c"))
         large = stats.where(~fits)
         if large.isEmpty():
             break
         open_ = open_.join(large.groupBy("k", "x", "y").agg(F.min("node").alias("node"), F.min("w").alias("w")), "node")
         if level == LEVELS:
             blocks = F.ceil(F.greatest(F.col("k") / (node_rows / 2), F.col("w") / (node_shingles / 2))).cast("int")
-            own = F.pmod(F.xxhash64("rep", F.lit(29)), F.col("blocks")).cast("int")
+            own = F.pmod(F.xxhash64("c", F.lit(29)), F.col("blocks")).cast("int")
             dealt = open_.withColumn("blocks", blocks).withColumn("own", own)
             other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-            pairs = dealt.select("rep", "node", "own", other).select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep")
+            pairs = dealt.select("c", "node", "own", other).select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "c")
             found.append(pairs)
             break
-        joined = open_.select("rep", "n", "component", "node").join(classes.select("rep", "tokens"), "rep")
+        joined = open_.select("c", "n", "component", "node").join(classes.select("c", "tokens"), "c")
         nodes = F.array(*(x for tree in trees for x in child(F.col("node"), level, tree)))
-        open_ = joined.select("rep", "n", "component", F.explode(nodes).alias("node"))
+        open_ = joined.select("c", "n", "component", F.explode(nodes).alias("node"))
         level += 1
     return cut(reduce(DataFrame.union, found).distinct())
 
 
 def texts_of(docs: DataFrame, members: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, rep, text) of the members."""
-    nodes = members.groupBy("rep").agg(F.collect_list("node").alias("nodes")).join(classes.select("rep", "t"), "rep")
+    """(node, c, rep, text) of the members."""
+    nodes = members.groupBy("c").agg(F.collect_list("node").alias("nodes")).join(classes.select("c", "rep", "t"), "c")
     nodes = cut(nodes)
     side = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
     rows = docs.select(F.col(doc_id).alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("rep is not null")
     rows = rows.withColumn("t", text_key("text")).join(side, ["rep", "t"])
-    return rows.select(F.explode("nodes").alias("node"), "rep", "text")
+    return rows.select(F.explode("nodes").alias("node"), "c", "rep", "text")
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: int = 80, trees: int = TREES, node_rows: int = NODE_ROWS, node_shingles: int = NODE_SHINGLES) -> DataFrame:
@@ -246,7 +246,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     small_batches(docs.sparkSession)
     rows = cut(signatures(docs, doc_id, text, width, trees))
     classes = rows.where("n > 0 and doc_id is not null").groupBy("c").agg(F.min(F.struct("doc_id", "t")).alias("r"), F.any_value("tokens").alias("tokens"), F.max("n").alias("n"))
-    # A repeated id may stand for several classes; each is then a vertex of its own under that id.
+    # A repeated id may stand for several classes; each is then compared on its own and linked under that id.
     classes = cut(classes.select("c", F.col("r.doc_id").alias("rep"), F.col("r.t").alias("t"), "tokens", "n"))
     found, links = classes.withColumn("component", F.col("rep")), None
     for part in ([0], list(range(1, trees))):

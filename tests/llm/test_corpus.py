@@ -378,6 +378,16 @@ def test_near_copies_of_odd_rows(spark, odd, empty):
     assert chosen_path.keep_one(empty).count() == 0
 
 
+def test_near_copies_of_each_text_of_an_id(spark):
+    def pair(name, i, key):
+        words = [f"{name}{i}w{k}" for k in range(60)]
+        return [(i, " ".join(words)), (key + i, " ".join([*words, "more"]))]
+
+    rows = [x for i in range(1, 11) for name, key in (("a", 100), ("b", 200)) for x in pair(name, i, key)]
+    found = chosen_path.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {k + i: i for i in range(1, 11) for k in (0, 100, 200)}
+
+
 def test_components(spark):
     links = [(n, n + 1) for n in range(1, 40)] + [(100, 50), (50, 100), (60, 60), (None, 3)]
     found = components.components(spark.createDataFrame(links, "a long, b long")).collect()
