@@ -7,14 +7,30 @@ from pyspark.sql import functions as F
 
 from codelathe.llm.common import cut
 
+#: Keys with more than this share of all rows are joined by broadcast; so at most 1 / HOT keys are, whatever the size.
+HOT = 1 / 500
+
+
+def joined(rows: DataFrame, stats: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined with the one row of each key in ``stats``; ``count`` holds the key's rows, ``total`` their sum.
+
+    The rows of a frequent key stay where they are: such keys are few, by their
+    share of ``total``, and are broadcast. The other keys meet by a shuffle.
+    """
+    often = F.col(count) > max(1, int(total * HOT))
+    hot = F.broadcast(stats.where(often))
+    rest = rows.join(F.broadcast(stats.where(often).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(stats.where(~often), key))
+
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(v, component): every linked vertex with the smallest vertex that it reaches.
 
     ``links`` has the columns a and b; null ends and loops are left out. Each
     round points the neighbours of a vertex to the smallest of them, first the
-    larger neighbours, then the smaller ones, until nothing changes; minima are
-    aggregated before the shuffle, so a vertex with many links is no hot spot.
+    larger neighbours, then the smaller ones, until nothing changes. Minima are
+    aggregated before the shuffle, and the links of a hub take its minimum by
+    :func:`joined`, so they are never brought to one task.
     """
     edges = cut(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
@@ -24,8 +40,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
         before = (mark.n, mark.x)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).select("u", F.least("u", "m").alias("m"), "k"))
+        large = cut(joined(both, least, "u", "k", 2 * mark.n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        # Each vertex keeps its smallest neighbour, and gives it to the others; the larger end of a link has few.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = cut(small.where("u <> v").distinct())
