@@ -12,8 +12,8 @@ A region without article or main then grows to each element around it that adds
 no frame of the page (menu, header, footer, sidebar), and over the headings and
 paragraphs before and after it up to other text. All lines of the region are
 content, short ones too, but for those in menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments inside it. What it grows over leaves
-out lists of links.
+notices, adverts, forms and reader comments inside it, and for blocks of links
+that are not above the threshold. What it grows over leaves out lists of links.
 
 Defined results: null or empty html gives an empty text. Unclosed elements end
 with the element around them. Character references are decoded, white space in
@@ -190,7 +190,8 @@ def region(page: Lines) -> list[int]:
         return []
     sizes = np.array([len(t) if g else 0 for t, g in zip(texts, good)], float)
     soft = smoothed(sizes / np.maximum(1, np.array(page.tags)))
-    seeds = good & (soft > threshold(soft))
+    limit = threshold(soft)
+    seeds = good & (soft > limit)
     if not seeds.any():
         seeds = good
     mass = np.zeros(len(page.names))
@@ -203,7 +204,7 @@ def region(page: Lines) -> list[int]:
     named = [k for k, x in enumerate(page.names) if x in ("article", "main") and not page.aside[k]]
     outer = [k for k in named if not any(p in named for p in _above(page, k))]
     if sum(mass[k] for k in outer) >= 0.5 * total:
-        return sorted(n for k in outer for n in _inside(page, good, k))
+        return sorted(n for k in outer for n in _inside(page, good, k) if soft[n] > limit or not _menu(page, n))
     return _unnamed(page, good, seeds, mass)
 
 
