@@ -9,7 +9,7 @@ Fitting uses at most ``SAMPLE`` labelled rows, those with the smallest hash of
 their id, so equal tables give equal models.
 
 Defined results: null text has the statistics of empty text and gets a score
-too. Without labelled rows of both classes the score is the share of label 1
+too. A row without an id is not held out, and no label is its own. Without labelled rows of both classes the score is the share of label 1
 (0.5 without any).
 """
 
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelathe.llm.common import fresh, table
+from codelathe.llm.common import fresh, table, text_key
 
 #: Most labelled rows that a fit uses.
 SAMPLE = 12_000
@@ -190,9 +190,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id",
     """Rules from the labelled rows with the ``sample`` smallest hashes of their ids."""
     chosen = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("double").alias("y")).where("i is not null and y is not null")
     chosen = chosen.orderBy(F.xxhash64("i"), "i", "y").limit(sample)  # at most ``sample`` pairs of numbers, so small enough to broadcast
-    stats = statistics(text)
-    rows = docs.join(F.broadcast(chosen), docs[doc_id] == chosen["i"]).select(F.col("i"), F.col("y"), *(c.alias(f"s_{n}") for n, c in stats.items()))
-    held = rows.limit(2 * sample).toPandas().sort_values(list(rows.columns), kind="stable")
+    stats = statistics("t")
+    rows = docs.select(F.col(doc_id).alias("o"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("o") == F.col("i")).select("i", "y", F.unhex(text_key("t")).alias("d"), *(c.alias(f"s_{n}") for n, c in stats.items()))
+    # A repeated row counts once; of an id's texts, those with the smallest digests come first, so equal tables give equal rules.
+    rows = rows.groupBy("i", "y", "d").agg(*(F.any_value(f"s_{n}").alias(f"s_{n}") for n in stats))
+    held = rows.orderBy(F.xxhash64("i"), "i", "y", "d").limit(sample).drop("d").toPandas()
     x, y = held[[f"s_{n}" for n in stats]].to_numpy(np.float64), held["y"].to_numpy(np.float64)
     return fit_rules(x, (y > 0.5).astype(float), list(stats))
 
@@ -210,4 +212,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     rules = fit(docs, labels.where(part != 0), "quality")
     df, out = score(docs.select("doc_id", "text"), rules)
-    return df.select("doc_id", (part == 0).alias("held_out"), F.col(out).alias("score"), (F.col(out) >= THRESHOLD).cast("int").alias("predicted"))
+    return df.select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), F.col(out).alias("score"), (F.col(out) >= THRESHOLD).cast("int").alias("predicted"))
