@@ -62,18 +62,20 @@ class Record:
     size: int
     refers_to: int | None = None
     revisit: bool = False
+    number: int = 0  # among records of a bundle with equal id and payload
 
     @property
     def record_id(self) -> str:
-        return name_of(self.page_id)
+        return name_of(self.page_id, self.digest) + (f":{self.number}" if self.number else "")
 
 
-def name_of(page_id: int | None) -> str:
-    return "urn:page:" + ("none" if page_id is None else str(page_id))
+def name_of(page_id: int | None, digest: str) -> str:
+    """A record's identifier: pages may share an id, and then their payloads part them."""
+    return f"urn:page:{'none' if page_id is None else page_id}:{digest}"
 
 
 def page_of(name: str) -> int | None:
-    tail = name.removeprefix("urn:page:")
+    tail = name.removeprefix("urn:page:").split(":")[0]
     return None if tail == "none" else int(tail)
 
 
@@ -83,7 +85,7 @@ def record_bytes(r: Record) -> bytes:
     if r.url is not None:
         head.append(f"WARC-Target-URI: {quote(r.url, safe=_URL_SAFE)}")
     if r.revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{name_of(r.refers_to)}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{name_of(r.refers_to, r.digest)}>"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -123,8 +125,12 @@ class BundleWriter:
         self.index: list[tuple[str, int, int, int]] = []
         self.open = bytearray()
         self.total = 0
+        self.seen: dict[str, int] = {}
 
     def add(self, r: Record) -> None:
+        """Append a record; one with the identifier of an earlier one gets a number behind it."""
+        name = name_of(r.page_id, r.digest)
+        r.number = self.seen[name] = self.seen.get(name, -1) + 1
         data = record_bytes(r)
         self.index.append((r.record_id, len(self.frames), len(self.open), len(data)))
         self.open += data
@@ -192,8 +198,19 @@ class BundleReader:
 
     def record(self, record_id: str) -> Record:
         frame, offset, size = self.index()[record_id]
-        found, end = parse_record(self.frame(frame), offset)
-        if end != offset + size:
+        return self._mapped(self.frame(frame), record_id, offset, size)
+
+    def mapped(self) -> Iterator[Record]:
+        """Every record by its place in the record map; a frame is unpacked once."""
+        number, data = None, b""
+        for name, (frame, offset, size) in sorted(self.index().items(), key=lambda x: x[1]):
+            if frame != number:
+                number, data = frame, self.frame(frame)
+            yield self._mapped(data, name, offset, size)
+
+    def _mapped(self, data: bytes, name: str, offset: int, size: int) -> Record:
+        found, end = parse_record(data, offset)
+        if end != offset + size or not (found.digest in name and page_of(name) == found.page_id):
             raise WarcError("record map")
         return found
 
@@ -242,12 +259,12 @@ def bundles(plan: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes: int =
 
 
 def read(stored: DataFrame) -> DataFrame:
-    """One row for each record of the bundles in ``content``, every payload held against its digest."""
+    """One row for each record of the bundles in ``content``, found through their record maps; every payload is held against its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                rows = [(r.page_id, r.url, r.size, r.digest, "revisit" if r.revisit else "response", r.refers_to) for r in BundleReader(content.as_py())]
+                rows = [(r.page_id, r.url, r.size, r.digest, "revisit" if r.revisit else "response", r.refers_to) for r in BundleReader(content.as_py()).mapped()]
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
