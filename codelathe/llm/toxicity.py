@@ -5,13 +5,13 @@ hashed words and word beginnings; the probabilities of the categories before it
 When a later model is trained, these are out-of-fold predictions, so it sees the
 same kind of error as it will on new texts.
 
-Labels give one category, ``toxic``. The chain puts ``severe`` before it: the
-toxic rows whose count of telling words is at least the median of all toxic
-rows. A telling word is one of the ``TELLING`` whose share is most in excess among
-toxic rows. Other category lists can be given to :func:`fit_chain`.
+The labels give two categories of their own: ``low_quality`` (``quality`` is 0)
+comes first, and ``toxic`` last. Without a column ``quality`` the chain has the
+last one only. Other categories can be given to :func:`fit` as columns of the
+labels, and other label lists to :func:`fit_chain`.
 
 Fitting uses at most ``SAMPLE`` labelled rows, those with the smallest hash of
-their id. Defined results: null text is empty text; empty text gets the models'
+their id; repeated rows count once. Defined results: null text is empty text; empty text gets the models'
 bias. Without labels of both classes all probabilities are the base rate and no
 text is toxic.
 """
@@ -23,11 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelathe.llm.common import buffers, mixed, opened, range_hash, slices, table, tidied, with_struct, word_ranges
+from codelathe.llm.common import buffers, mixed, opened, range_hash, slices, table, text_key, tidied, with_struct, word_ranges
 
 #: Most labelled rows that a fit uses.
 SAMPLE = 10_000
@@ -35,12 +35,14 @@ BUCKETS = 22
 #: Word beginnings of so many bytes are features beside whole words, as inflected forms share them.
 STEMS = (4, 5, 6)
 FEATURES = 500
-TELLING = 40
+#: Features that are chosen for the categories before the last, each.
+EARLY = 150
+#: A text of less than this probability is never rejected, however few labels put the threshold lower.
+LEAST = 0.25
 FOLDS = 5
 STEPS = 150
 RIDGE = 1e-4
 LASSO = 3e-4
-CATEGORIES = ("severe", "toxic")
 
 
 def buckets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +121,8 @@ def fit_linear(x: np.ndarray, before: np.ndarray, y: np.ndarray, steps: int = ST
     return Linear(w, b)
 
 
-def chosen_features(rows: list[np.ndarray], y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets with the largest z-scores of the difference of their shares, strongest for label 1 first; and the z-scores.
+def chosen_features(rows: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray:
+    """Buckets with the largest z-scores of the difference of their shares, strongest for label 1 first.
 
     ``rows`` has each text's distinct buckets.
     """
@@ -136,7 +138,7 @@ def chosen_features(rows: list[np.ndarray], y: np.ndarray, most: int) -> tuple[n
     z = (ones / n1 - (total - ones) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
     order = np.argsort(-np.abs(z), kind="stable")[:most]
     order = order[np.argsort(-z[order], kind="stable")]
-    return some[order], z[order]
+    return some[order]
 
 
 def matrix(rows: list[np.ndarray], features: np.ndarray) -> np.ndarray:
@@ -162,7 +164,7 @@ def fit_chain(x: np.ndarray, features: np.ndarray, labels: dict[str, np.ndarray]
             if here.any():
                 outside[here] = fit_linear(x[~here], odds[~here], y[~here]).margin(x[here], odds[here])
         odds = np.column_stack([odds, np.clip(outside, -6, 6)])
-    return Chain(list(labels), features, models, best_threshold(outside, y))
+    return Chain(list(labels), features, models, max(LEAST, best_threshold(outside, y)))
 
 
 def best_threshold(margin: np.ndarray, y: np.ndarray) -> float:
@@ -177,19 +179,20 @@ def best_threshold(margin: np.ndarray, y: np.ndarray) -> float:
     return float(sigmoid((margin[n] + margin[n + 1]) / 2 if n + 1 < len(y) else margin[n]))
 
 
-def categories_of(x: np.ndarray, z: np.ndarray, toxic: np.ndarray) -> dict[str, np.ndarray]:
-    """Labels of the chain's categories from the one label there is; ``z`` are the features' scores, strongest first."""
-    severe = np.zeros(len(toxic))
-    if toxic.any():
-        count = x[:, : min(TELLING, int((z > 0).sum()))].sum(1)
-        severe = ((toxic > 0) & (count >= max(1.0, float(np.median(count[toxic > 0]))))).astype(float)
-    return {"severe": severe, "toxic": toxic}
+def categories_of(labels: DataFrame, label: str = "toxic") -> dict[str, Column]:
+    """The chain's categories as columns of the labels, in order."""
+    early = {"low_quality": (F.col("quality") == 0)} if "quality" in labels.columns and label != "quality" else {}
+    return {**early, label: F.col(label).cast("double") > 0.5}
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, categories: dict[str, Column] | None = None) -> Chain:
     """The chain from the labelled rows with the ``sample`` smallest hashes of their ids."""
-    chosen = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("double").alias("y")).where("i is not null and y is not null")
-    chosen = chosen.orderBy(F.xxhash64("i"), "i", "y").limit(sample)  # at most ``sample`` pairs of numbers, so small enough to broadcast
+    categories = categories or categories_of(labels, label)
+    names = list(categories)
+    # A category that is unknown for a row counts as absent, but for the last one, which must be known.
+    values = F.array(*(F.coalesce(c.cast("float"), F.lit(0.0).cast("float")) for c in categories.values()))
+    chosen = labels.where(F.col(doc_id).isNotNull() & categories[names[-1]].isNotNull()).select(F.col(doc_id).alias("i"), values.alias("y")).distinct()
+    chosen = chosen.orderBy(F.xxhash64("i"), "i", "y").limit(sample)  # at most ``sample`` rows of numbers, so small enough to broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -197,21 +200,26 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 who, bucket = buckets(*buffers(batch.column("t")))
                 at = np.searchsorted(who, np.arange(batch.num_rows + 1))
                 each = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bucket, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("y"), each], ["i", "y", "b"])
-
-    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("d") == F.col("i")).select("i", "y", "t")
-    held = rows.mapInArrow(tidied(run), T.StructType([rows.schema["i"], rows.schema["y"], T.StructField("b", T.ArrayType(T.IntegerType()))])).limit(2 * sample).toArrow()
-    order = sorted(range(held.num_rows), key=lambda n, i=held["i"].to_pylist(), y=held["y"].to_pylist(): (i[n], y[n]))
-    toxic = (np.array(held["y"].to_pylist(), float)[order] > 0.5).astype(float)
-    if not len(toxic):
-        return Chain(list(CATEGORIES), np.zeros(0, np.int64), [Linear(np.zeros(n), -40.0) for n in range(len(CATEGORIES))])
+                yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("y"), batch.column("d"), each], ["i", "y", "d", "b"])
+
+    rows = docs.select(F.col(doc_id).alias("o"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("o") == F.col("i")).select("i", "y", F.unhex(text_key("t")).alias("d"), "t")
+    kind = T.StructType([*(rows.schema[x] for x in ("i", "y", "d")), T.StructField("b", T.ArrayType(T.IntegerType()))])
+    once = rows.mapInArrow(tidied(run), kind).groupBy("i", "y", "d").agg(F.any_value("b").alias("b"))
+    held = once.orderBy(F.xxhash64("i"), "i", "y", "d").limit(sample).select("i", "y", "b").toArrow()
+    if not held.num_rows:
+        return Chain(names, np.zeros(0, np.int64), [Linear(np.zeros(n), -40.0) for n in range(len(names))])
+    order = sorted(range(held.num_rows), key=lambda n, i=held["i"].to_pylist(): i[n])
+    y = np.array(held["y"].to_pylist(), float)[order]
     lists = held["b"].combine_chunks()
     at, flat = np.array(lists.offsets), lists.values.to_numpy()
     rows = [flat[at[n] : at[n + 1]] for n in order]
-    features, z = chosen_features(rows, toxic, FEATURES)
+    features = chosen_features(rows, y[:, -1], FEATURES)
+    for n in range(len(names) - 1):
+        more = chosen_features(rows, y[:, n], EARLY)
+        features = np.concatenate([features, more[~np.isin(more, features)]])
     x = matrix(rows, features)
     del rows, flat, lists, held
-    return fit_chain(x, features, categories_of(x, z, toxic))
+    return fit_chain(x, features, {c: y[:, n] for n, c in enumerate(names)})
 
 
 def predict(df: DataFrame, chain: Chain, text: str = "text", threshold: float | None = None) -> tuple[DataFrame, str]:
