@@ -11,6 +11,7 @@ language before the shuffle, and only the profiles reach the driver.
 Defined results: null text and text without a letter are ``und`` with score 0,
 as is all text when there is nothing to learn from. The score is one less the
 ratio of the least distance to the next, 1 where only one language is known.
+A row without an id is not held out, and nothing is learnt from it.
 """
 
 from __future__ import annotations
@@ -30,27 +31,25 @@ UNKNOWN = "und"
 #: Length of a profile and longest n-gram.
 PROFILE = 400
 LONGEST = 3
-_GRAM_BITS = 26
+#: Bits of a code point in an n-gram, and the code of a word's border, which no letter has.
+_POINT_BITS = 21
+_BORDER = 0x110000
 
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
 @lru_cache(maxsize=1)
 def letter_codes() -> np.ndarray:
-    """A code from 1 to 255 for each letter, in lower case, by code point; 0 for all else. Rarer scripts share codes."""
-    out = np.zeros(0x110000, np.uint8)
+    """The lower-case code point of each letter, by code point; 0 for all else."""
+    out = np.zeros(0x110000, np.int32)
     for c in range(0x110000):
-        if 0xD800 <= c < 0xE000:
-            continue
-        x = chr(c)
-        if x.isalpha():
-            low = ord(x.lower()[0])
-            out[c] = low - 96 if 97 <= low <= 122 else 27 + (low - 0xDF) if 0xDF <= low < 0x180 else 190 + low % 66
+        if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
+            out[c] = ord(chr(c).lower()[0])
     return out
 
 
 def grams(texts: list[str | None], longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, n-gram) of every n-gram within a word and its two borders, in no order."""
+    """(text number, n-gram) of every n-gram within a word and its two borders, in no order; up to three code points."""
     raw = "\0".join(["\0" + (t or "") for t in texts]).encode("utf-32-le", "surrogatepass")
     points = np.frombuffer(raw, np.uint32)
     codes = letter_codes()[points]
@@ -58,19 +57,19 @@ def grams(texts: list[str | None], longest: int = LONGEST) -> tuple[np.ndarray,
     owner = np.repeat(np.arange(len(texts)), size)[: len(codes)]
     keep = (codes > 0) | np.concatenate([[True], codes[:-1] > 0])  # one border between words
     codes, owner = codes[keep].astype(np.int64), owner[keep]
-    out, who = [codes[codes > 0]], [owner[codes > 0]]
+    letter = codes > 0
+    out, who = [codes[letter]], [owner[letter]]
+    codes[~letter] = _BORDER
     for n in range(2, longest + 1):
         m = len(codes) - n + 1
         if m <= 0:
             break
-        whole = np.ones(m, bool)
-        key = np.full(m, n, np.int64)
+        whole = letter[:m] | letter[1 : 1 + m] if n == 2 else np.ones(m, bool)
+        key = np.zeros(m, np.int64)
         for j in range(n):
-            key = (key << 8) | codes[j : j + m]
+            key = (key << _POINT_BITS) | codes[j : j + m]
             if 0 < j < n - 1:
-                whole &= codes[j : j + m] > 0
-        if n == 2:
-            whole &= (codes[:m] > 0) | (codes[1 : 1 + m] > 0)
+                whole &= letter[j : j + m]
         out.append(key[whole])
         who.append(owner[: len(codes)][n - 1 :][:m][whole])
     return np.concatenate(who), np.concatenate(out)
@@ -79,12 +78,13 @@ def grams(texts: list[str | None], longest: int = LONGEST) -> tuple[np.ndarray,
 def ranked(texts: list[str | None], length: int, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, n-gram, rank from 0) of the ``length`` most frequent n-grams of each text, ties by n-gram."""
     who, key = grams(texts, longest)
-    both = np.sort((who << _GRAM_BITS) | key)
-    if not len(both):
+    if not len(key):
         return (np.zeros(0, np.int64),) * 3
+    names, place = np.unique(key, return_inverse=True)
+    both = np.sort((who << 32) | place)
     at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
     both, count = both[at], np.diff(np.append(at, len(both)))
-    who, key = both >> _GRAM_BITS, both & ((1 << _GRAM_BITS) - 1)
+    who, key = both >> 32, names[both & 0xFFFFFFFF]
     order = np.lexsort((-count, who))  # stable: n-grams ascend already
     who, key = who[order], key[order]
     begin = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
@@ -167,4 +167,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = fit(docs.where((part_of("doc_id", 4) != 2)))
     df, out = identify(docs.select("doc_id", "text"), profiles)
-    return opened(df.withColumn("held_out", part_of("doc_id", 4) == 2), ["doc_id", "held_out"], out)
+    return opened(df.withColumn("held_out", F.coalesce(part_of("doc_id", 4) == 2, F.lit(False))), ["doc_id", "held_out"], out)
