@@ -36,10 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode and an error on a cluster."""
     sc = spark.sparkContext
     held = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not held:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         held = tempfile.mkdtemp(prefix="codelathe-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(held)

@@ -8,8 +8,10 @@ longest verbatim stretch of each document. Documents never leave their task, so
 nothing is shuffled; the benchmark goes out in blocks of bounded size, one pass
 of the shards for each block.
 
-Words compare by 64-bit hashes of their bytes; a false match needs eight equal
-pairs in a row.
+Words compare by 64-bit hashes of their bytes; a false match needs as many equal
+pairs in a row as the window has words, so one pair for an item of one word. The
+tables of a block take about 21 times its bytes, in the driver and in each
+worker.
 
 Defined results: null or wordless text has no words and no hits; items without
 an id or without words match nothing; equal item ids are one item.
@@ -32,7 +34,7 @@ WINDOW = 8
 #: Documents with windows of at least so many items are affected.
 MIN_ITEMS = 2
 #: Bytes of benchmark text that one pass holds; a larger benchmark takes more passes.
-BENCH_BYTES = 32 << 20
+BENCH_BYTES = 4 << 20
 _FILTER_BITS = 22
 
 SPAN = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])

@@ -18,6 +18,28 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+o AS (SELECT doc_id, o, substr(h, 1024 * o + 1, 1422) AS h FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 - 200) // 512 + 1)) AS o FROM d WHERE length(h) >= 400)),
+s AS (SELECT doc_id, 512 * o + j AS i, md5(substr(h, 2 * j + 1, 400)) AS m FROM (SELECT doc_id, o, h, unnest(range(0, least(512, length(h) // 2 - 199))) AS j FROM o)),
+p AS (SELECT doc_id, i FROM s WHERE m IN (SELECT m FROM s GROUP BY m HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS opens FROM p),
+k AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+a AS (SELECT doc_id, min(i) AS b, max(i) + 200 AS e FROM k GROUP BY doc_id, run),
+q AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS before FROM a),
+x AS (SELECT doc_id, count(*) AS n_spans, sum(e - b) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (b - before)), '' ORDER BY b) || substr(any_value(h), 2 * max(e) + 1) AS kept FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN x USING (doc_id)
+""",
+    "op8_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT x AS v, x AS u FROM l UNION SELECT r.v, l.y FROM r JOIN l ON l.x = r.u),
+c AS (SELECT v, min(u) AS component FROM r GROUP BY v)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept FROM s LEFT JOIN c ON v = doc_id
+""",
     "op5_warc_bundles": """
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, url, strlen(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
