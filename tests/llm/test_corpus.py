@@ -92,6 +92,48 @@ def test_all_articles_of_a_page():
     assert [len(x) for x in html.main_text(page).split("\n")] == [n for x in lines for n in x]
 
 
+def link_list(n: int) -> str:
+    return "<ul>" + "".join(f"<li><a href=/{k}>link {k}</a></li>" for k in range(n)) + "</ul>"
+
+
+def test_ratios_decide(monkeypatch):
+    long = [("word " * n).strip() for n in (80, 95, 70, 110, 60)]
+    body = "".join(f"<p>{t}</p>" for t in long)
+    plain = f"<body><div class=x1><div>{link_list(12)}</div><div>Buy this</div></div><div class=x2>{body}</div><div class=x3><div>Terms</div>{link_list(9)}</div>"
+    inside = f"<body><article><h1>{long[0]}</h1>{body}{link_list(10)}</article>"
+    assert html.main_text(plain) == "\n".join(long)
+    assert html.main_text(inside) == "\n".join([long[0], *long])
+    for constant in (np.ones, np.zeros):
+        monkeypatch.setattr(html, "smoothed", lambda r, c=constant: c(len(r)))
+        assert html.main_text(plain) != "\n".join(long) and html.main_text(inside) != "\n".join([long[0], *long])
+
+
+def test_ratios_against_plain_python():
+    page = html.Lines()
+    page.feed(f"<body><nav><a href=/>Home</a></nav><div><p>{'x' * 90}</p><p>short <b>b</b></p>{link_list(3)}<p>{'y' * 140}</p></div>")
+    page.close()
+    page.end_line()
+    ratios = [len(t) / max(1, n) for t, n in zip(page.texts, page.tags)]
+    kernel = [np.exp(-(k**2) / 2) for k in (-2, -1, 0, 1, 2)]
+    want = []
+    for n in range(len(ratios)):
+        near = [(kernel[k + 2], ratios[n + k]) for k in (-2, -1, 0, 1, 2) if 0 <= n + k < len(ratios)]
+        want.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    assert html.smoothed(np.array(ratios)) == pytest.approx(want)
+    low, high = min(want), max(want)
+    for _ in range(50):
+        groups = [x for x in want if x <= (low + high) / 2], [x for x in want if x > (low + high) / 2]
+        low, high = (sum(g) / len(g) for g in groups)
+    assert html.threshold(np.array(want)) == pytest.approx((low + high) / 2)
+
+
+def test_html_of_odd_tables(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html.extract(none)[0].count() == 0
+    text = "words and more " * 40_000
+    assert html.main_text(f"<div><p>{text}</p></div>") == " ".join(text.split())
+
+
 def test_smoothing_and_threshold():
     assert html.smoothed(np.ones(5)) == pytest.approx(np.ones(5))
     assert 1 < html.threshold(np.array([0.0, 1.0, 10.0, 11.0])) < 10
@@ -120,6 +162,18 @@ def test_rules_compile_to_the_same_scores(spark):
     assert quality.fit_rules(x[:0], y[:0], ["a", "b", "c"]).score(x[:1])[0] == pytest.approx(0.5)
 
 
+def test_rules_against_plain_conjunctions():
+    rng = np.random.default_rng(5)
+    x = rng.random((400, 4))
+    y = ((x[:, 1] > 0.4) ^ (x[:, 3] > 0.7)).astype(float)
+    rules = quality.fit_rules(x, y, ["a", "b", "c", "d"])
+    for row, score in zip(x[:100], rules.score(x[:100])):
+        total = rules.bias
+        for weight, rule in zip(rules.weights, rules.rules):
+            total += weight * all(row[k] > bound if above else row[k] <= bound for k, above, bound in rule)
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
 def test_quality_held_out(spark, odd, empty):
     found = queries.QUERIES["op2_quality_rules"](spark, SF.replace("0.001", "0.01"))
     rows = found.where("held_out").join(table(spark, SF.replace("0.001", "0.01"), "labels"), "doc_id").collect()
@@ -209,6 +263,30 @@ def test_repeats(spark, odd):
     assert repeats.removed(odd.limit(0))[0].count() == 0
 
 
+def test_anchors_of_periodic_texts():
+    rng = random.Random(4)
+    for unit in ("a", "word ", "abcdefghij" * 30, "".join(rng.choice("abc") for _ in range(5000))):
+        raw = (unit * (2 << 20))[: 2 << 20].encode()
+        h, _, b, e, _ = repeats.anchors(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 200, 40)
+        assert (e - b).sum() < 5 * len(raw) and (e - b).max() <= (1 << 14) + 200
+        assert len(h) < len(raw) / 40 and b.min() == 0 and e.max() == len(raw)
+
+
+def test_repeats_of_very_long_texts(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    size = 20 << 20
+    for unit in ("a", "word "):
+        text = (unit * (size // len(unit) + 1))[:size]
+        pq.write_table(pa.table({"doc_id": [1, 2, 3], "text": [text, "short", None]}), tmp_path / "long.parquet")
+        found, out = repeats.removed(spark.read.parquet(str(tmp_path / "long.parquet")))
+        rows = {r.doc_id: tuple(r[out]) for r in found.collect()}
+        assert rows[1] == (size, size, 1, hashlib.sha256(b"").hexdigest())
+        assert rows[2][:3] == (5, 0, 0) and rows[3][:3] == (0, 0, 0)
+        spark.catalog.refreshByPath(str(tmp_path / "long.parquet"))
+
+
 def test_repeats_on_the_table(spark):
     rows = queries.QUERIES["op4_suffix_dedup"](spark, SF).orderBy("doc_id").collect()
     want = brute_repeats([r.text for r in documents(spark).orderBy("doc_id").collect()])
@@ -243,8 +321,12 @@ def test_seekable_bundle(spark, tmp_path):
         writer.add(warc.Record(n, f"http://h/{n}", body, hashlib.sha256(body).hexdigest(), len(body)))
     data = writer.close()
     reader = warc.BundleReader(data)
-    assert reader.record("urn:page:7").payload == b"<p>page 7" * 8
-    assert len(reader.frames) > 5 and [r.page_id for r in reader] == list(range(20))
+    assert reader.record(warc.name_of(7, hashlib.sha256(b"<p>page 7" * 8).hexdigest())).payload == b"<p>page 7" * 8
+    assert len(reader.frames) > 5 and [r.page_id for r in reader] == [r.page_id for r in reader.mapped()] == list(range(20))
+    same = warc.BundleWriter()
+    for n in (1, 1, 1):
+        same.add(warc.Record(n, "u", b"x", hashlib.sha256(b"x").hexdigest(), 1))
+    assert len(list(warc.BundleReader(same.close()).mapped())) == 3
     whole = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
     assert whole == b"".join(reader.frame(n) for n in range(len(reader.frames)))
     with pytest.raises(warc.WarcError):
@@ -264,8 +346,8 @@ def test_toxicity(spark, odd, empty):
     df, out = toxicity.predict(docs, chain)
     rows = df.select("doc_id", f"{out}.*").join(labels.where("doc_id % 4 = 0"), "doc_id").collect()
     assert sum(r.is_toxic and not r.toxic for r in rows) <= 1
-    assert sum(r.is_toxic == bool(r.toxic) for r in rows) / len(rows) > 0.93
-    assert chain.categories == ["severe", "toxic"] and len(chain.models[1].weights) == len(chain.features) + 1
+    assert sum(bool(r.is_toxic and r.toxic) for r in rows) >= 0.6 * sum(r.toxic for r in rows) > 0
+    assert chain.categories == ["low_quality", "toxic"] and len(chain.models[1].weights) == len(chain.features) + 1
     marked, out = toxicity.predict(clash(odd), chain)
     assert marked.count() == len(ODD) and not marked.where(f"{out}.is_toxic").count()
     assert toxicity.clean(empty, chain).columns == empty.columns
@@ -273,6 +355,22 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.clean(docs, none).count() == docs.count()
 
 
+def test_chain_against_plain_sums(spark):
+    docs, labels = table(spark, SF.replace("0.001", "0.01"), "documents"), table(spark, SF.replace("0.001", "0.01"), "labels")
+    chain = toxicity.fit(docs, labels)
+    df, out = toxicity.predict(docs.limit(60).select("doc_id", "text"), chain)
+    place = {int(b): k for k, b in enumerate(chain.features)}
+    for r in df.collect():
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        held = [place[b] for b in set(toxicity.buckets(raw, np.array([0, len(raw)]))[1].tolist()) if b in place]
+        odds = []
+        for name, model in zip(chain.categories, chain.models):
+            margin = model.bias + sum(model.weights[k] for k in held) + sum(w * o for w, o in zip(model.weights[len(place) :], odds))
+            assert r[out][f"p_{name}"] == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-9)
+            odds.append(min(6.0, max(-6.0, margin)))
+        assert r[out]["is_toxic"] == (r[out][f"p_{chain.categories[-1]}"] >= chain.threshold)
+
+
 def test_chain_uses_earlier_categories():
     rng = np.random.default_rng(0)
     x = (rng.random((800, 6)) < 0.3).astype(np.float32)
@@ -317,6 +415,16 @@ def test_ogg_damage_is_found():
     assert len(streams) == 2 and all(start % 192 == 0 for s in streams.values() for start, _ in ogg.dated(s))
 
 
+def test_ogg_columns_on_the_table(spark):
+    texts = {r.doc_id: r.text or "" for r in documents(spark).collect()}
+    for r in queries.QUERIES["op7_ogg_media"](spark, SF).collect():
+        raw = texts[r.doc_id].encode()
+        full = raw + b" " * (192 * max(1, -(-len(raw) // 192)) - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
+        media = ogg.store(full)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and r.feature
+
+
 def test_ogg_query(spark, odd):
     df, out = ogg.features(clash(odd))
     rows = collections.defaultdict(set)
@@ -411,7 +519,39 @@ def test_language(spark, odd, empty):
 def test_rank_profiles():
     who, key, rank = langid.ranked(["aab b", None], 3)
     assert set(who.tolist()) == {0} and rank.tolist() == [0, 1, 2]
-    assert collections.Counter(langid.grams(["ab"])[1].tolist())[1] == 1
+    assert collections.Counter(langid.grams(["ab"])[1].tolist())[ord("a")] == 1
+
+
+def plain_profile(texts, length):
+    """The n-grams of words with their borders, most frequent first, ties by code points."""
+    count = collections.Counter()
+    for t in texts:
+        for word in "".join(c.lower()[0] if c.isalpha() else " " for c in t or "").split():
+            padded = [0x110000, *map(ord, word), 0x110000]
+            count.update((c,) for c in padded[1:-1])
+            count.update(tuple(padded[k : k + n]) for n in (2, 3) for k in range(len(padded) - n + 1))
+    return sorted(count, key=lambda g: (-count[g], sum(c << 21 * k for k, c in enumerate(reversed(g)))))[:length]
+
+
+def test_language_against_plain_distances(spark):
+    rows = documents(spark).where("text is not null and lang is not null").select("doc_id", "text", "lang").collect()
+    rows += [type(rows[0])(doc_id=-n, text=t, lang=k) for n, (k, t) in enumerate([("ru", "быстрая лисица прыгает через ленивую собаку " * 3), ("el", "η γρήγορη αλεπού πηδάει πάνω από το σκυλί " * 3), ("ja", "日本語の文章はここにあります。短い文です。" * 3), ("hi", "यह एक छोटा सा वाक्य है और कुछ नहीं " * 3)], 1)]
+    by_lang = collections.defaultdict(list)
+    for r in rows:
+        by_lang[r.lang].append(r.text)
+    want = {k: plain_profile(v, 400) for k, v in by_lang.items()}
+    df = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in rows], "doc_id long, text string, lang string")
+    profiles = langid.fit(df)
+    code = lambda g: sum(c << 21 * k for k, c in enumerate(reversed(g)))
+    assert profiles == {k: [code(g) for g in v] for k, v in want.items()} and len(profiles) >= 8
+    texts = ["собака и лисица", "το σκυλί", "日本語です", "एक वाक्य", *[r.text for r in rows[:40]]]
+    langs, scores = langid.judge(texts, profiles, 400)
+    assert langs[:4] == ["ru", "el", "ja", "hi"]
+    for t, lang, score in zip(texts, langs, scores):
+        mine = plain_profile([t], 400)
+        far = {k: sum(abs(v.index(g) - n) if g in v else 400 for n, g in enumerate(mine)) for k, v in want.items()}
+        first, second = sorted(far.values())[:2]
+        assert lang == min(sorted(far), key=far.get) and score == pytest.approx(1 - first / second)
 
 
 # --- decontamination ----------------------------------------------------------------------
