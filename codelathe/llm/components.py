@@ -11,16 +11,22 @@ from codelathe.llm.common import cut
 HOT = 1 / 500
 
 
-def joined(rows: DataFrame, stats: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def joined(rows: DataFrame, stats: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
     """``rows`` joined with the one row of each key in ``stats``; ``count`` holds the key's rows, ``total`` their sum.
 
-    The rows of a frequent key stay where they are: such keys are few, by their
-    share of ``total``, and are broadcast. The other keys meet by a shuffle.
+    The rows of a frequent key are never brought together: such keys are few, by
+    their share of ``total``, and are broadcast, and a salt of their own row
+    spreads those rows over the tasks where the other keys meet.
     """
+    keys = [key] if isinstance(key, str) else key
+    values = [c for c in stats.columns if c not in keys]
     often = F.col(count) > max(1, int(total * HOT))
-    hot = F.broadcast(stats.where(often))
-    rest = rows.join(F.broadcast(stats.where(often).select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(stats.where(~often), key))
+    hot = F.broadcast(stats.where(often).select(*keys, F.struct(*values).alias("_hot")))
+    rest = stats.where(~often).select(*keys, F.struct(*values).alias("_rest"), F.lit(0).alias("_salt"))
+    spread = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)).cast("int"))
+    met = rows.join(hot, keys, "left").withColumn("_salt", spread).join(rest, [*keys, "_salt"], "left")
+    found = met.withColumn("_found", F.coalesce("_hot", "_rest")).where("_found is not null")
+    return found.select(*rows.columns, *(F.col(f"_found.{c}").alias(c) for c in values))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

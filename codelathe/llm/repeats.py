@@ -14,7 +14,12 @@ match lengths fall by one for each position, so one pass over the text streams
 the matching statistics of every position against all others. Positions whose
 match reaches ``length`` are marked. Equal segments are held once with their
 count. Anchors that occur more than ``MOST`` times are dealt out by the windows
-themselves: fingerprints are counted before the shuffle and joined back.
+themselves: fingerprints of 128 bits, from two independent multipliers, are
+counted before the shuffle and joined back.
+
+A run of strings that pick equal anchors is one segment, so texts that repeat a
+short period give few. The rows of the most frequent anchors are spread over all
+tasks where the others meet their counts.
 
 Documents are known by a digest of their text, so repeated rows, null ids and
 groups of exact copies need no care.
@@ -35,7 +40,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelathe.llm.common import buffers, cut, fresh, mixed, powers, prefix_hash, range_hash, slices, small_batches, table, tidied
+from codelathe.llm.common import BYTE_CODE, buffers, cut, fresh, mixed, powers, prefix_hash, range_hash, slices, small_batches, table, tidied
+from codelathe.llm.components import joined
 
 LENGTH = 200
 ANCHOR = 40
@@ -45,6 +51,11 @@ MOST = 20_000
 INDEX_BYTES = 128 << 10
 _END, _DIGIT, _DIGITS = 0xC0, 0xF8, 8
 _PIECE = 1 << 20
+#: Most strings of one segment, and bytes of segments in one batch.
+_RUN = 1 << 14
+_BATCH = 4 << 20
+#: Odd multiplier of the second fingerprint.
+_SECOND = np.uint64(0xD1342543DE82EF95)
 _PLACE = np.uint64((1 << 24) - 1)
 
 SPANS = T.ArrayType(T.StructType([T.StructField("b", T.IntegerType()), T.StructField("e", T.IntegerType())]))
@@ -57,8 +68,8 @@ def digest(text: str):
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
-def anchors(data: np.ndarray, at: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text number, begin, end) of every anchor and its segment: the strings that pick it, from the first's start to the last's end."""
+def anchors(data: np.ndarray, at: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text number, begin, end, times) of every anchor and its segment: the strings that pick it, from the first's start to the last's end, and at how many places they do."""
     out: list[tuple[np.ndarray, ...]] = []
     last_start = np.repeat(at[1:] - length, np.diff(at))  # of strings within the text of each byte
     for low in range(0, len(data), _PIECE):
@@ -81,16 +92,21 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, k: int) -> tuple[np.n
         picked = (np.minimum(back[:starts], ahead[w - 1 : w - 1 + starts]) & _PLACE).astype(np.int64)
         where = np.flatnonzero(good)
         picked = picked[where]
+        held = hashes[picked]
         new = np.ones(len(where), bool)
-        new[1:] = (picked[1:] != picked[:-1]) | (where[1:] != where[:-1] + 1)
+        new[1:] = (held[1:] != held[:-1]) | (where[1:] != where[:-1] + 1)
+        rank = np.arange(len(where))
+        new |= (rank - np.maximum.accumulate(np.where(new, rank, 0))) % _RUN == 0
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(where)) - 1
-        out.append((hashes[picked[first]], where[first] + low, where[last] + low + length))
+        other = np.ones(len(where), np.int64)
+        other[1:] = picked[1:] != picked[:-1]
+        out.append((held[first], where[first] + low, where[last] + low + length, np.add.reduceat(other, first) + (other[first] == 0)))
     if not out:
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
-    hashes, begin, end = (np.concatenate(x) for x in zip(*out))
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 4
+    hashes, begin, end, times = (np.concatenate(x) for x in zip(*out))
     text = np.searchsorted(at, begin, "right") - 1
-    return hashes, text, begin - at[text], end - at[text]
+    return hashes, text, begin - at[text], end - at[text], times
 
 
 class RunLengthIndex:
@@ -206,19 +222,19 @@ def marked(segments: list[bytes], counts: list[int], length: int) -> list[list[t
 
 
 def _anchor_rows(docs: DataFrame, length: int, k: int, places: bool) -> DataFrame:
-    """(h) or (t, h, b, e) of all anchors of (t, text)."""
+    """(h, times) or (t, h, b, e) of all anchors of (t, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                h, text, b, e = anchors(*buffers(batch.column("text")), length, k)
+                h, text, b, e, times = anchors(*buffers(batch.column("text")), length, k)
                 h = pa.array(h.view(np.int64))
                 if places:
                     yield pa.RecordBatch.from_arrays([batch.column("t").take(pa.array(text)), h, pa.array(b, pa.int32()), pa.array(e, pa.int32())], ["t", "h", "b", "e"])
                 else:
-                    yield pa.RecordBatch.from_arrays([h], ["h"])
+                    yield pa.RecordBatch.from_arrays([h, pa.array(times)], ["h", "times"])
 
-    return docs.select("t", "text").mapInArrow(tidied(run), "t binary, h long, b int, e int") if places else docs.select("text").mapInArrow(tidied(run), "h long")
+    return docs.select("t", "text").mapInArrow(tidied(run), "t binary, h long, b int, e int") if places else docs.select("text").mapInArrow(tidied(run), "h long, times long")
 
 
 def _segments(texts: DataFrame) -> DataFrame:
@@ -234,8 +250,16 @@ def _segments(texts: DataFrame) -> DataFrame:
                 of = np.repeat(np.arange(batch.num_rows), np.diff(np.array(places.offsets)))
                 low = at[of]
                 b, e = flat.field("b"), flat.field("e")
-                parts = [raw[x:y] for x, y in zip((low + b.to_numpy()).tolist(), (low + e.to_numpy()).tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column("t").take(pa.array(of)), flat.field("h"), flat.field("n"), b, pa.array(parts, pa.binary())], ["t", "h", "n", "b", "seg"])
+                begin, end = (low + b.to_numpy()).tolist(), (low + e.to_numpy()).tolist()
+                ends = np.cumsum(e.to_numpy() - b.to_numpy())
+                row = 0
+                while row < len(of):  # segments overlap, so those of a long text are more than the text
+                    stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + _BATCH, "right")))
+                    q = slice(row, stop)
+                    parts = [raw[x:y] for x, y in zip(begin[q], end[q])]
+                    own = [x.slice(row, stop - row) for x in (flat.field("h"), flat.field("n"), b)]
+                    yield pa.RecordBatch.from_arrays([batch.column("t").take(pa.array(of[q])), *own, pa.array(parts, pa.binary())], ["t", "h", "n", "b", "seg"])
+                    row = stop
 
     return texts.mapInArrow(tidied(run), "t binary, h long, n long, b int, seg binary")
 
@@ -284,13 +308,27 @@ def _windowed(segments: DataFrame, length: int) -> DataFrame:
                 offset = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
                 start = at[of] + offset
                 one = range_hash(prefix_hash(data), start, start + length)
-                two = range_hash(prefix_hash(data ^ np.uint8(0x5A)), start, start + length)
+                two = _second_hash(data, start, length)
                 b = np.repeat(batch.column("b").to_numpy(), each) + offset
                 yield pa.RecordBatch.from_arrays([batch.column("t").take(pa.array(of)), batch.column("n").take(pa.array(of)), pa.array(b, pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["t", "n", "b", "f", "g"])
 
     rows = segments.select("t", "n", "b", "seg").mapInArrow(tidied(run), "t binary, n long, b int, f long, g long")
-    twice = rows.groupBy("f", "g").agg(F.sum("n").alias("n")).where("n > 1").select("f", "g")
-    return rows.join(twice, ["f", "g"]).select("t", "b", (F.col("b") + length).alias("e"))
+    twice = cut(rows.groupBy("f", "g").agg(F.sum("n").alias("times"), F.count("*").alias("k")).where("times > 1").select("f", "g", "k"))
+    total = twice.agg(F.sum("k")).first()[0] or 0
+    return joined(rows.select("t", "b", "f", "g"), twice, ["f", "g"], "k", total).select("t", "b", (F.col("b") + length).alias("e"))
+
+
+def _second_hash(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the strings at ``start`` by another multiplier and other byte codes."""
+    power = np.full(len(data), _SECOND, np.uint64)
+    power[:1] = 1
+    np.multiply.accumulate(power, out=power)
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_CODE[::-1][data] * power, out=prefix[1:])
+    back = np.full(len(data), np.uint64(pow(int(_SECOND), -1, 1 << 64)), np.uint64)
+    back[:1] = 1
+    np.multiply.accumulate(back, out=back)
+    return mixed((prefix[start + length] - prefix[start]) * back[start])
 
 
 def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, most: int = MOST, index_bytes: int = INDEX_BYTES) -> DataFrame:
@@ -298,9 +336,10 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, anchor: int
     small_batches(docs.sparkSession)
     keyed = docs.select(digest(text).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
     # Map-side sums first: an anchor of all documents is one row from each task.
-    repeated = _anchor_rows(keyed, length, anchor, False).groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
-    repeated = cut(repeated.select("h", (F.col("k") > most).alias("hot")))
-    places = _anchor_rows(keyed, length, anchor, True).join(repeated, "h").groupBy("t", "h", "b").agg(F.any_value("e").alias("e"), F.any_value("hot").alias("hot"), F.count("*").alias("n"))
+    repeated = _anchor_rows(keyed, length, anchor, False).groupBy("h").agg(F.count("*").alias("k"), F.sum("times").alias("times")).where("times > 1")
+    repeated = cut(repeated.select("h", "k", (F.col("k") > most).alias("hot")))
+    total = repeated.agg(F.sum("k")).first()[0] or 0
+    places = joined(_anchor_rows(keyed, length, anchor, True), repeated, "h", "k", total).groupBy("t", "h", "b").agg(F.any_value("e").alias("e"), F.any_value("hot").alias("hot"), F.count("*").alias("n"))
     once = keyed.groupBy("t").agg(F.any_value("text").alias("text"))
 
     def segments(some: DataFrame) -> DataFrame:
