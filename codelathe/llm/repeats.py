@@ -18,11 +18,12 @@ themselves: fingerprints of 128 bits, from two independent multipliers, are
 counted before the shuffle and joined back.
 
 A run of strings that pick equal anchors is one segment, so texts that repeat a
-short period give few. The rows of the most frequent anchors are spread over all
-tasks where the others meet their counts.
+short period give few. Anchors are counted first; the tasks that cut segments
+know the repeated ones by a filter of fixed size, so nearly all others stay where
+they are, and what passes by chance finds no match.
 
-Documents are known by a digest of their text, so repeated rows, null ids and
-groups of exact copies need no care.
+Documents are known by a digest of their text, so repeated rows and null ids need
+no care; exact copies are one text with their number before segments are cut.
 
 Defined results: null text is empty; texts shorter than ``length`` lose nothing.
 In a cleaned text, the rest of a character that a removed string cuts is left
@@ -33,9 +34,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +52,9 @@ ANCHOR = 40
 MOST = 20_000
 #: Bytes of segments that one index holds; an anchor's segments stay together.
 INDEX_BYTES = 128 << 10
+#: Bits of the filter of repeated anchors, and most hashes of hot ones: what a task knows of them has a bound.
+FILTER_BITS = 27
+HOT_KEYS = 2_000_000
 _END, _DIGIT, _DIGITS = 0xC0, 0xF8, 8
 _PIECE = 1 << 20
 #: Most strings of one segment, and bytes of segments in one batch.
@@ -221,47 +227,74 @@ def marked(segments: list[bytes], counts: list[int], length: int) -> list[list[t
     return out
 
 
-def _anchor_rows(docs: DataFrame, length: int, k: int, places: bool) -> DataFrame:
-    """(h, times) or (t, h, b, e) of all anchors of (t, text)."""
+def _counts(docs: DataFrame, length: int, k: int) -> DataFrame:
+    """(h, k, times) of all anchors of (t, text): its segments, and the places that pick it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                h, text, b, e, times = anchors(*buffers(batch.column("text")), length, k)
-                h = pa.array(h.view(np.int64))
-                if places:
-                    yield pa.RecordBatch.from_arrays([batch.column("t").take(pa.array(text)), h, pa.array(b, pa.int32()), pa.array(e, pa.int32())], ["t", "h", "b", "e"])
-                else:
-                    yield pa.RecordBatch.from_arrays([h, pa.array(times)], ["h", "times"])
+                h, _, _, _, times = anchors(*buffers(batch.column("text")), length, k)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times)], ["h", "times"])
 
-    return docs.select("t", "text").mapInArrow(tidied(run), "t binary, h long, b int, e int") if places else docs.select("text").mapInArrow(tidied(run), "h long, times long")
+    # Map-side sums first: an anchor of all documents is one row from each task.
+    return docs.select("text").mapInArrow(tidied(run), "h long, times long").groupBy("h").agg(F.count("*").alias("k"), F.sum("times").alias("times"))
+
+
+@dataclass
+class Known:
+    """What a task knows of repeated anchors, of a size that has nothing to do with the documents'.
+
+    ``bits`` has the bit of every repeated anchor; anchors that share a bit with
+    one pass too, and find no match later. ``hot`` are the sorted hashes of the
+    most frequent ones.
+    """
+
+    bits: np.ndarray
+    hot: np.ndarray
 
+    @staticmethod
+    def of(repeated: DataFrame, most: int) -> Known:
+        # Anchors have the smallest hashes, so only the low bits are spread evenly.
+        word = F.shiftright(F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6)
+        words = repeated.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("x"))
+        bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+        for batch in words.toArrow().to_batches():  # at most 2 ** (FILTER_BITS - 6) rows
+            bits[batch.column("w").to_numpy()] = batch.column("x").to_numpy().view(np.uint64)
+        hot = repeated.where(F.col("k") > most).select("h").toArrow().column("h").to_numpy()  # at most HOT_KEYS rows
+        return Known(bits, np.sort(hot))
 
-def _segments(texts: DataFrame) -> DataFrame:
-    """(t, h, n, b, seg) from (t, text, places)."""
+    def repeated(self, h: np.ndarray) -> np.ndarray:
+        at = h & np.uint64((1 << FILTER_BITS) - 1)
+        return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+    def often(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.zeros(len(h), bool)
+        h = h.view(np.int64)
+        return self.hot[np.minimum(np.searchsorted(self.hot, h), len(self.hot) - 1)] == h
+
+
+def _segments(docs: DataFrame, known: Broadcast, hot: bool, length: int, k: int) -> DataFrame:
+    """(h, t, b, n, seg): the segments of likely repeated anchors of (t, text, n), of the hot ones or the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text"):
                 data, at = buffers(batch.column("text"))
-                raw = data.tobytes()
-                places = batch.column("places")
-                flat = places.flatten()
-                of = np.repeat(np.arange(batch.num_rows), np.diff(np.array(places.offsets)))
-                low = at[of]
-                b, e = flat.field("b"), flat.field("e")
-                begin, end = (low + b.to_numpy()).tolist(), (low + e.to_numpy()).tolist()
-                ends = np.cumsum(e.to_numpy() - b.to_numpy())
+                h, text, b, e, _ = anchors(data, at, length, k)
+                good = known.value.repeated(h) & (known.value.often(h) == hot)
+                h, text, b, e = (x[good] for x in (h, text, b, e))
+                raw, begin, ends = data.tobytes(), at[text] + b, np.cumsum(e - b)
                 row = 0
-                while row < len(of):  # segments overlap, so those of a long text are more than the text
+                while row < len(h):  # segments overlap, so those of a long text are more than the text
                     stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + _BATCH, "right")))
                     q = slice(row, stop)
-                    parts = [raw[x:y] for x, y in zip(begin[q], end[q])]
-                    own = [x.slice(row, stop - row) for x in (flat.field("h"), flat.field("n"), b)]
-                    yield pa.RecordBatch.from_arrays([batch.column("t").take(pa.array(of[q])), *own, pa.array(parts, pa.binary())], ["t", "h", "n", "b", "seg"])
+                    parts = [raw[x : x + y] for x, y in zip(begin[q].tolist(), (e[q] - b[q]).tolist())]
+                    own = pa.array(text[q])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[q].view(np.int64)), batch.column("t").take(own), pa.array(b[q], pa.int32()), batch.column("n").take(own), pa.array(parts, pa.binary())], ["h", "t", "b", "n", "seg"])
                     row = stop
 
-    return texts.mapInArrow(tidied(run), "t binary, h long, n long, b int, seg binary")
+    return docs.select("t", "text", "n").mapInArrow(tidied(run), "h long, t binary, b int, n long, seg binary")
 
 
 def _indexed(segments: DataFrame, length: int, index_bytes: int) -> DataFrame:
@@ -279,7 +312,7 @@ def _indexed(segments: DataFrame, length: int, index_bytes: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int32())], ["t", "b", "e"])
 
         for batch in batches:
-            for t, h, n, b, seg in zip(*(batch.column(c).to_pylist() for c in ("t", "h", "n", "b", "seg"))):
+            for h, t, b, n, seg in zip(*(batch.column(c).to_pylist() for c in ("h", "t", "b", "n", "seg"))):
                 if total >= index_bytes and h != last:
                     yield spans()
                     held, rows, counts, total = {}, [], [], 0
@@ -293,7 +326,7 @@ def _indexed(segments: DataFrame, length: int, index_bytes: int) -> DataFrame:
         yield spans()
 
     placed = segments.repartition("h").sortWithinPartitions("h")
-    return placed.select("t", "h", "n", "b", "seg").mapInArrow(tidied(run), "t binary, b int, e int")
+    return placed.mapInArrow(tidied(run), "t binary, b int, e int")
 
 
 def _windowed(segments: DataFrame, length: int) -> DataFrame:
@@ -335,22 +368,14 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, anchor: int
     """(t, spans): the digest of each text that holds repeated strings, and what they cover, in no order."""
     small_batches(docs.sparkSession)
     keyed = docs.select(digest(text).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
-    # Map-side sums first: an anchor of all documents is one row from each task.
-    repeated = _anchor_rows(keyed, length, anchor, False).groupBy("h").agg(F.count("*").alias("k"), F.sum("times").alias("times")).where("times > 1")
-    repeated = cut(repeated.select("h", "k", (F.col("k") > most).alias("hot")))
+    repeated = cut(_counts(keyed, length, anchor).where("times > 1").select("h", "k"))
     total = repeated.agg(F.sum("k")).first()[0] or 0
-    places = joined(_anchor_rows(keyed, length, anchor, True), repeated, "h", "k", total).groupBy("t", "h", "b").agg(F.any_value("e").alias("e"), F.any_value("hot").alias("hot"), F.count("*").alias("n"))
-    once = keyed.groupBy("t").agg(F.any_value("text").alias("text"))
-
-    def segments(some: DataFrame) -> DataFrame:
-        # As many places for a text as it has anchors.
-        return _segments(once.join(some.groupBy("t").agg(F.collect_list(F.struct("h", "b", "e", "n")).alias("places")), "t"))
-
-    if repeated.where("hot").isEmpty():
-        covered = _indexed(segments(places), length, index_bytes)
-    else:
-        places = cut(places)
-        covered = _indexed(segments(places.where("not hot")), length, index_bytes).union(_windowed(segments(places.where("hot")), length))
+    known = docs.sparkSession.sparkContext.broadcast(Known.of(repeated, max(most, total // HOT_KEYS)))
+    # Equal texts are one with their number before any segment is cut.
+    once = keyed.groupBy("t").agg(F.any_value("text").alias("text"), F.count("*").alias("n"))
+    covered = _indexed(_segments(once, known, False, length, anchor), length, index_bytes)
+    if len(known.value.hot):
+        covered = covered.union(_windowed(_segments(once, known, True, length, anchor), length))
     return covered.groupBy("t").agg(F.collect_list(F.struct("b", "e")).alias("spans"))
 
 
