@@ -47,6 +47,20 @@ def line_blocks(docs: DataFrame, key: str = "id", text: str = "text", size: int
     return blocks.select(key, "block", (F.col("block") * size + 1).alias("first_line"), F.size(part).alias("n_lines"), F.array_join(part, "\n").alias("content")).where(F.col("n_lines") >= least)
 
 
+def with_overlap(blocks: DataFrame, key: str = "id", lines: int = 20) -> DataFrame:
+    """Blocks with the last lines of the one before and the first of the one after."""
+    w = Window.partitionBy(key).orderBy("block")
+    own = F.split("content", "\n")
+    last = F.array_join(F.slice(own, F.greatest(F.lit(1), F.size(own) - lines + 1), F.lit(lines)), "\n")
+    first = F.array_join(F.slice(own, F.lit(1), F.lit(lines)), "\n")
+    return blocks.select("*", F.coalesce(F.lag(last).over(w), F.lit("")).alias("before"), F.coalesce(F.lead(first).over(w), F.lit("")).alias("after"))
+
+
+def estimated_chunks(text: str = "text"):
+    """About how many chunks a text gives: one for each 500 characters, one at least."""
+    return F.greatest(F.lit(1), F.floor(F.length(text) / 500)).cast("long")
+
+
 def context_lines(docs: DataFrame, term: str, around: int = 2, key: str = "id", text: str = "text", with_match: bool = True) -> DataFrame:
     """(key, line, matched, context) of lines that hold ``term`` in any case; built per text, without a shuffle."""
     held = docs.where(F.lower(text).contains(term.lower())).select(key, F.split(text, "\n").alias("l"))

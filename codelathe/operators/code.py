@@ -9,18 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
+CRITICAL_PACKAGES = (".security.", ".auth.", ".core.", ".persistence.")
 CRITICAL_NAMES = ("Security", "Auth", "JWT", "Login", "Permission")
+DB_PREFIXES = ("spring.datasource", "spring.jpa", "spring.data.jdbc", "spring.data.mongodb", "spring.data.redis", "spring.data.cassandra", "spring.data.elasticsearch", "hibernate", "jdbc", "database", "db")
 DB_FRAGMENTS = ("database", "datasource", "db", "jdbc", "jpa", "hibernate")
 DB_TYPES = ((("url", "jdbc"), "connection"), (("username", "user"), "authentication"), (("password",), "authentication"), (("driver",), "driver"), (("pool", "connection"), "pool-config"), (("dialect",), "dialect"), (("jpa", "hibernate"), "orm-config"))
 DB_TECHNOLOGIES = {"jdbc:mysql": "MySQL", "jdbc:postgresql": "PostgreSQL", "jdbc:oracle": "Oracle", "jdbc:sqlserver": "SQL Server", "jdbc:h2": "H2", "jdbc:db2": "DB2", "jdbc:sqlite": "SQLite", "mongodb://": "MongoDB", "redis://": "Redis"}
-ANTI_PATTERNS = {
-    "empty_catch": r"catch\s*\([^)]*\)\s*\{\s*\}",
-    "generic_catch": r"catch\s*\(\s*(?:Exception|Throwable)\s+\w+\s*\)",
-    "print_stack_trace": r"\.printStackTrace\s*\(\s*\)",
-    "log_only": r"catch\s*\([^)]*\)\s*\{\s*(?:log|logger|LOG|LOGGER)\.\w+\([^;]*;\s*\}",
-    "sleep_in_catch": r"catch\s*\([^)]*\)\s*\{[^}]*Thread\.sleep",
-    "swallowed": r"catch\s*\([^)]*\)\s*\{\s*(?:return\s+null|return|continue|break)\s*;\s*\}",
-}
+NOTE_TOPICS = ((("url", "uri", "endpoint"), "endpoint"), (("timeout",), "timeout"), (("enable", "disable"), "switch"), (("password", "secret", "key"), "secret"))
 
 
 def _any(c: Column, parts) -> Column:
@@ -59,7 +54,7 @@ def property_references(files: DataFrame, name: str) -> DataFrame:
     access = F.when(F.col("kind") == "conditional", "conditional").when(fallback, "fallback").otherwise("direct")
     held = files.where(F.col("content").contains(name.rsplit(".", 1)[0] if prefix is None else prefix))
     hit = held.select("path", "content", F.explode(found).alias("u")).select("path", "content", "u.kind", "u.match")
-    return hit.select("path", cls.alias("class_name"), component_type(F.col("content"), cls).alias("component"), "kind", _any(cls, CRITICAL_NAMES).alias("is_critical"), access.alias("access"))
+    return hit.select("path", cls.alias("class_name"), component_type(F.col("content"), cls).alias("component"), "kind", is_critical(cls).alias("is_critical"), access.alias("access"))
 
 
 def severity(critical: Column, security: Column, conditional: Column, references: Column) -> Column:
@@ -71,8 +66,27 @@ def impact(references: DataFrame, by: str = "property") -> DataFrame:
     return counts.withColumn("severity", severity(F.col("n_critical"), F.lit(0), F.col("n_conditional"), F.col("n_references")))
 
 
+def is_critical(class_name: Column) -> Column:
+    """Whether a class stands in a critical package or is named so."""
+    return _any(class_name, CRITICAL_PACKAGES) | _any(class_name, CRITICAL_NAMES)
+
+
 def is_db_property(name: Column) -> Column:
-    return _any(F.lower(name), DB_FRAGMENTS)
+    """By prefix or fragment of the property's name, as it is written; null is none."""
+    begins = reduce(lambda a, b: a | b, (F.startswith(name, F.lit(p)) for p in DB_PREFIXES))
+    return F.coalesce(begins | _any(name, DB_FRAGMENTS), F.lit(False))
+
+
+def note_topic(name: Column) -> Column:
+    """What a note about a property is on, by its name; null for none."""
+    return F.coalesce(*(F.when(_any(name, parts), F.lit(topic)) for parts, topic in NOTE_TOPICS))
+
+
+def usage_summary(injection: Column, reads: Column, writes: Column, conditional: Column, loops: Column, mutating: Column) -> Column:
+    """A sentence for each kind of use that occurs."""
+    some = lambda n, before, after: F.when(n > 0, F.concat(F.lit(before), n.cast("string"), F.lit(after))).otherwise("")
+    parts = ((writes, "Written ", " times. "), (conditional, "Used in ", " conditional statements. "), (loops, "Used in ", " loops. "), (mutating, "Modified by ", " operations. "))
+    return F.concat(F.lit("Injected via "), injection, F.lit(". Read "), reads.cast("string"), F.lit(" times. "), *(some(*p) for p in parts))
 
 
 def db_property_type(name: Column) -> Column:
@@ -94,10 +108,30 @@ def exception_uses(files: DataFrame, name: str) -> DataFrame:
     return out.where("throws or catches")
 
 
-def anti_patterns(files: DataFrame) -> DataFrame:
-    """(pattern, path) of each anti-pattern in each file."""
-    tests = F.array(*(F.when(F.col("content").rlike(x), F.lit(k)) for k, x in ANTI_PATTERNS.items()))
-    return files.select(F.explode(F.array_compact(tests)).alias("pattern"), "path")
+def anti_patterns(files: DataFrame, exception: str = "Exception") -> DataFrame:
+    """(pattern, path) of each way in which a file mishandles the exception.
+
+    A handler is what stands between the braces of its ``catch``, without inner
+    braces. It may be empty, swallow (neither throw, log nor return in it), only
+    log the variable, print its stack trace, or sleep; ``generic_catch`` is any
+    catch of Exception.
+    """
+    name = re.escape(exception.rsplit(".", 1)[-1])
+    head = rf"catch\s*\(\s*{name}\s+(\w+)\s*\)\s*\{{([^{{}}]*)\}}"
+    catches = F.arrays_zip(F.regexp_extract_all("content", F.lit(head), F.lit(1)).alias("v"), F.regexp_extract_all("content", F.lit(head), F.lit(2)).alias("body"))
+    some = lambda test: F.exists(catches, test)
+    body = lambda c: c["body"]
+    logged = lambda c: body(c).rlike(r"log(?:ger)?\.[a-z]+\(") & F.contains(F.regexp_extract(body(c), r"log(?:ger)?\.[a-z]+\((.*)\)", 1), c["v"])
+    tests = {
+        "empty_catch": some(lambda c: F.trim(F.regexp_replace(body(c), r"\s+", " ")) == ""),
+        "swallowed": some(lambda c: ~body(c).rlike("throw|log|return")),
+        "generic_catch": F.col("content").rlike(r"catch\s*\(\s*Exception\s+\w+\s*\)"),
+        "log_only": some(logged),
+        "print_stack_trace": some(lambda c: F.contains(body(c), F.concat(c["v"], F.lit(".printStackTrace()")))),
+        "sleep_in_catch": some(lambda c: body(c).rlike(r"Thread\.sleep\([^)]*\)")),
+    }
+    names = F.array(*(F.when(test, F.lit(k)) for k, test in tests.items()))
+    return files.select(F.explode(F.array_compact(names)).alias("pattern"), "path")
 
 
 def search_repositories(files: DataFrame, term: str, most: int = 1000, regex: bool = False, ignore_case: bool = True, around: int = 3) -> DataFrame:

@@ -13,18 +13,23 @@ def neighbours(edges: DataFrame, node: str) -> DataFrame:
     return out.unionAll(back)
 
 
-def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, depth: int, most: int | None = None) -> DataFrame:
     """(node, depth): each node with its least number of steps from ``starts``, which has the column node.
 
-    One join a level; a level's new nodes alone go on, and the loop is bounded by ``depth``.
+    One join a level; a level's new nodes alone go on, each level is
+    materialised, and the walk ends with the first level without a new node.
+    ``most`` keeps the first nodes by depth and name.
     """
-    seen = starts.select("node").distinct().withColumn("depth", F.lit(0))
-    front = seen
+    from codelathe.operators.javagraph import _cut
+
+    seen = front = _cut(starts.select("node").distinct().withColumn("depth", F.lit(0)))
     for level in range(1, depth + 1):
         step = edges.join(front.select(F.col("node").alias("source")), "source").select(F.col("target").alias("node")).distinct()
-        front = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level))
+        front = _cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
+        if front.isEmpty():
+            break
         seen = seen.unionAll(front)
-    return seen
+    return seen if most is None else seen.orderBy("depth", "node").limit(most)
 
 
 def related(edges: DataFrame, node: str, depth: int) -> DataFrame:

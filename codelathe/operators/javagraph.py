@@ -168,20 +168,24 @@ def propagation(found: DataFrame, calls: DataFrame, exception: str, depth: int =
     simple = exception.rsplit(".", 1)[-1]
     catching = found.where((F.col("kind") == "catch") & (F.substring_index("target", ".", -1) == simple)).select("owner", "name").distinct()
     back = calls.where("target_full is not null").select(F.col("target_full").alias("owner"), F.col("target_method").alias("name"), F.col("owner").alias("up_owner"), F.col("method").alias("up_name")).distinct()
-    seen = thrown(found, exception).withColumn("role", F.lit("THROWS")).withColumn("depth", F.lit(0))
-    front = seen
+    back, catching = _cut(back), _cut(catching)
+    seen = front = _cut(thrown(found, exception).withColumn("role", F.lit("THROWS")).withColumn("depth", F.lit(0)))
     for level in range(1, depth + 1):
         up = back.join(front.where("role <> 'CATCHES'").select("owner", "name"), ["owner", "name"]).select(F.col("up_owner").alias("owner"), F.col("up_name").alias("name")).distinct().join(seen.select("owner", "name"), ["owner", "name"], "left_anti")
         caught = up.join(catching.withColumn("c", F.lit(True)), ["owner", "name"], "left")
-        front = caught.select("owner", "name", F.when(F.col("c"), "CATCHES").otherwise("PROPAGATES").alias("role"), F.lit(level).alias("depth"))
+        front = _cut(caught.select("owner", "name", F.when(F.col("c"), "CATCHES").otherwise("PROPAGATES").alias("role"), F.lit(level).alias("depth")))
+        if front.isEmpty():
+            break
         seen = seen.unionAll(front)
     return seen
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder; a temporary one only where none is set."""
+    """Materialise in the shared checkpoint folder; where none is set, in a temporary one in local mode, and an error on a cluster."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.getConf().get("spark.checkpoint.dir") and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="codelathe-"))
     return df.checkpoint(eager=True)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelathe.functions.text import keyword_set, template
@@ -30,18 +30,16 @@ def search_logs(logs: DataFrame, text: str | None = None, level: str | None = No
 
 
 def error_patterns(logs: DataFrame, least: int = 2, examples: int = 3) -> DataFrame:
-    """Templates of ERROR and FATAL messages with their counts and first messages.
+    """Templates of ERROR and FATAL messages with their counts and first messages, most frequent first.
 
-    Examples are folded with a bounded state, so a frequent template is no unbounded list.
+    Counts are summed before the shuffle, and each task keeps only the first
+    messages of a template before theirs, so a frequent one is no hot spot.
     """
-    errors = logs.where(F.col("level").isin("ERROR", "FATAL") & F.col("message").isNotNull()).withColumn("template", template(F.col("message")))
-    counts = errors.groupBy("template").agg(F.count("*").alias("frequency"), F.min(F.struct("ord", "message")).alias("e1")).where(F.col("frequency") >= least)
-    out, held = counts, ["e1"]
-    for n in range(2, examples + 1):
-        later = errors.join(out.select("template", F.col(f"{held[-1]}.ord").alias("after")), "template").where(F.col("ord") > F.col("after"))
-        out = out.join(later.groupBy("template").agg(F.min(F.struct("ord", "message")).alias(f"e{n}")), "template", "left")
-        held.append(f"e{n}")
-    return out.select("template", "frequency", F.transform(F.array_compact(F.array(*held)), lambda e: e["message"]).alias("examples"))
+    errors = logs.where(F.col("level").isin("ERROR", "FATAL") & F.col("message").isNotNull()).select("ord", "message", template(F.col("message")).alias("template"))
+    counts = errors.groupBy("template").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= least)
+    first = errors.withColumn("r", F.row_number().over(Window.partitionBy("template").orderBy("ord", "message"))).where(F.col("r") <= examples)
+    held = first.groupBy("template").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "message"))), lambda e: e["message"]).alias("examples"))
+    return counts.join(held, "template").select("template", "frequency", "examples").orderBy(F.desc("frequency"), "template")
 
 
 def article_relevance(title: Column, content: Column, query: Column) -> Column:

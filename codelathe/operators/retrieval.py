@@ -65,6 +65,27 @@ def keyword_scores(docs: DataFrame, query: str, key: str = "id", content: str =
     return docs.where(F.col(content).isNotNull()).withColumn("score", total).where("score > 0")
 
 
+def semantic_search(found: DataFrame, kind: str, k: int, least: float | None = None, description: str = "description", key: str = "id") -> DataFrame:
+    """The best ``k`` rows of ``similarity``, from the threshold of the query's type on; for a conceptual query, rows with a description gain first."""
+    boost = F.when(F.length(F.trim(F.coalesce(F.col(description), F.lit("")))) > 0, CONCEPT_BOOST).otherwise(1.0) if kind == "CONCEPTUAL" else F.lit(1.0)
+    held = found.withColumn("score", F.col("similarity") * boost)
+    return top_k(held.where(F.col("score") >= (THRESHOLDS[kind] if least is None else least)), "score", key, k)
+
+
+def default_search(found: DataFrame, conceptual: bool, k: int, threshold: float = 0.7, description: str = "description", key: str = "id") -> DataFrame:
+    """The best ``k`` of the ``2 * k`` nearest rows above the threshold; a conceptual query relaxes it and adds up to 0.15 for long descriptions."""
+    least = max(0.5, threshold - 0.15) if conceptual and threshold >= 0.5 else threshold
+    near = top_k(found.where(F.col("similarity") >= least), "similarity", key, 2 * k)
+    size = F.length(F.coalesce(F.col(description), F.lit("")))
+    more = F.when(size > 100, F.least(F.lit(0.15), size / 10000.0)).otherwise(0.0) if conceptual else F.lit(0.0)
+    return top_k(near.withColumn("score", F.least(F.lit(1.0), F.col("similarity") + more)), "score", key, k)
+
+
+def strategy(name: str | None):
+    """Search by strategy name; unknown names and none mean ``hybrid``."""
+    return {"semantic": semantic_search, "keyword": keyword_scores, "hybrid": fuse}.get((name or "hybrid").lower(), fuse)
+
+
 def fuse(semantic: DataFrame, keyword: DataFrame, k: int, weight: float = SEMANTIC_WEIGHTS["MIXED"], key: str = "id") -> DataFrame:
     """Rank fusion of two scored lists of bounded length: (length - rank) * weight, summed."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
-BINARY_SUFFIXES = ("jar", "class", "zip", "gz", "tar", "png", "jpg", "jpeg", "gif", "pdf", "exe", "dll", "so", "bin")
+BINARY_SUFFIXES = ("jpg", "jpeg", "png", "gif", "pdf", "zip", "jar", "class", "exe", "bin", "so", "dll", "jks", "war")
 
 
 def combined_text(description: Column, purpose: Column, capabilities: Column, content: Column) -> Column:
@@ -48,13 +48,18 @@ def failures(attempts: DataFrame) -> DataFrame:
 def smoothed_latency(rows: DataFrame, key: str, ts: str = "ts", value: str = "value", keep: float = 0.2) -> DataFrame:
     """(key, latency): exponential average, ``keep`` of the old and the rest of the new value, in order of time.
 
-    Only the last values matter beyond rounding: 0.2 ** 24 is below 1e-16, so the fold takes the newest 24 of a key.
+    Only the last values matter beyond rounding: the fold takes the newest of a key until ``keep`` to their number is below 1e-16, 23 for 0.2.
     """
+    import math
+
     from pyspark.sql import Window
 
-    last = rows.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(ts), F.desc(value)))).where("r <= 24")
+    if not 0 <= keep < 1:
+        raise ValueError("keep must be from 0 to below 1")
+    most = 2 if keep == 0 else max(2, math.ceil(math.log(1e-16) / math.log(keep)))
+    last = rows.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(ts), F.desc(value)))).where(F.col("r") <= most)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("r")).alias("o"), F.col(value).cast("double").alias("v")))), lambda x: x["v"])
-    return last.groupBy(key).agg(ordered.alias("v")).select(key, F.aggregate(F.slice("v", 2, 24), F.element_at("v", 1), lambda a, x: keep * a + (1 - keep) * x).alias("latency"))
+    return last.groupBy(key).agg(ordered.alias("v")).select(key, F.aggregate(F.slice("v", 2, most), F.element_at("v", 1), lambda a, x: keep * a + (1 - keep) * x).alias("latency"))
 
 
 def chat_answer(body: Column) -> Column:

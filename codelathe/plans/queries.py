@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codelathe.functions import scoring, text
 from codelathe.functions.vector import cosine
-from codelathe.operators import chunks, code, graph, limits, logs, retrieval
+from codelathe.operators import chunks, code, graph, limits, logs, retrieval, store
 from codelathe.plans.catalog import query
 from codelathe.sources.readers import table
 
@@ -63,7 +63,7 @@ def namespace_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("missing_vectors", "SELECT doc_id AS id, source FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def missing_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source").join(_vectors(spark, d).select("id"), "id", "left_anti")
+    return store.missing(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source"), _vectors(spark, d))
 
 
 @query("documents_with_vectors", "SELECT doc_id AS id, source FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
@@ -212,15 +212,15 @@ def context_lines(spark: SparkSession, d: str) -> DataFrame:
     return chunks.context_lines(table(spark, d, "documents"), "LICENSE", 2, "doc_id")
 
 
-@query("cross_repository_search", f"{_LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, line) AS r FROM h) SELECT source AS repository, doc_id AS path, CAST(line AS INT) AS line, matched, array_to_string(list_concat(l[greatest(1, line - 3):line - 1], l[line + 1:line + 3]), chr(10)) AS context FROM r WHERE r <= 3")
+@query("cross_repository_search", f"{_LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, line) AS r FROM h) SELECT source AS repository, doc_id AS path, CAST(line AS INT) AS line, matched, array_to_string(list_concat(l[greatest(1, line - 3):line - 1], l[line + 1:line + 3]), chr(10)) AS context FROM r WHERE r <= 1000")
 def cross_repository_search(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "documents").select(F.col("source").alias("repository"), F.col("doc_id").alias("path"), F.col("text").alias("content"))
-    return code.search_repositories(files, "license", 3).withColumn("context", F.array_join("context", "\n"))
+    return code.search_repositories(files, "license").withColumn("context", F.array_join("context", "\n"))
 
 
 @query("passage_topk", r"WITH s AS (SELECT doc_id, regexp_split_to_array(text, '[.!?\n]') AS l FROM documents), p AS (SELECT doc_id, CAST(i - 1 AS INT) AS position, l[i] AS segment FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM s)), h AS (SELECT doc_id, position, trim(segment) AS segment, CAST(len(regexp_extract_all(lower(segment), '\bthat\b')) + len(regexp_extract_all(lower(segment), '\bwith\b')) AS BIGINT) AS hits FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, position) AS r FROM h WHERE hits > 0) SELECT doc_id, position, segment, hits FROM r WHERE r <= 10")
 def passage_topk(spark: SparkSession, d: str) -> DataFrame:
-    return chunks.passages(table(spark, d, "documents").where("lang = 'en' or lang <> 'en' or lang is null"), ["that", "with"], 10, "doc_id")
+    return chunks.passages(table(spark, d, "documents"), ["that", "with"], 10, "doc_id")
 
 
 _EDGES = "WITH edges AS (SELECT 'region:' || r.r_regionkey AS source, 'nation:' || n_nationkey AS target FROM nation JOIN region r ON r_regionkey = n_regionkey UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey FROM orders)"

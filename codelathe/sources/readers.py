@@ -11,7 +11,9 @@ TICKET = "ticketId string, subject string, description string, priority string,
 VECTOR = "id string, vector array<float>"
 METADATA = "id string, source string, type string, filePath string, startLine int, endLine int, content string, language string, repositoryNamespace string, description string, purposeSummary string, capabilities array<string>, usageExamples array<string>"
 # Fixed values.
-CODE_SUFFIXES = ("java", "py", "js", "ts", "jsx", "tsx", "c", "h", "cpp", "hpp", "cs", "go", "rb", "php", "kt", "scala", "xml", "json", "yml", "yaml", "properties", "md", "sql", "sh", "html")
+CODE_SUFFIXES = ("java", "py", "js", "ts", "jsx", "tsx", "html", "xml", "properties", "yml", "yaml", "json", "sql", "c", "cpp", "h", "cs", "go", "rs", "kt", "kts", "groovy", "scala", "rb", "php")
+#: Suffixes of a plain search of files.
+SEARCH_SUFFIXES = ("java", "js", "ts", "jsx", "tsx", "py", "xml", "json", "yml", "yaml", "properties", "sh", "md", "html", "css", "scss")
 EXCLUDED_FOLDERS = ("node_modules", "target", "build", "dist", ".git", ".idea", ".vscode")
 
 
