@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from codelathe.plans import analysis, catalog, flows, javacode, lookups, queries  # noqa: F401
+from codelathe.plans import analysis, catalog, flows, javacode, lookups, queries, sourcefiles  # noqa: F401
 from tests.conftest import SF
 
 
