@@ -66,6 +66,18 @@ def impact(references: DataFrame, by: str = "property") -> DataFrame:
     return counts.withColumn("severity", severity(F.col("n_critical"), F.lit(0), F.col("n_conditional"), F.col("n_references")))
 
 
+def impact_notes(critical: Column, conditional: Column, loops: Column, classes: Column) -> Column:
+    """Names of what stands out about a property's use: a critical context, more than five classes."""
+    return F.array_compact(F.array(F.when((critical > 0) | (conditional > 0) | (loops > 0), "critical contexts"), F.when(classes > 5, "wide scope")))
+
+
+def impact_recommendations(conditional: Column, mutating: Column, is_db: Column, classes: Column) -> Column:
+    """Names of what to do about a property, in order; documentation always."""
+    return F.array_compact(
+        F.array(F.when(conditional > 0, "Add Default Value"), F.when(mutating > 0, "Consider Immutability"), F.when(is_db, "Secure Database Configuration"), F.lit("Configuration Documentation"), F.when(classes > 3, "Configuration Centralization"))
+    )
+
+
 def is_critical(class_name: Column) -> Column:
     """Whether a class stands in a critical package or is named so."""
     return _any(class_name, CRITICAL_PACKAGES) | _any(class_name, CRITICAL_NAMES)

@@ -120,8 +120,9 @@ def steps(found: DataFrame) -> DataFrame:
 def resolved(found: DataFrame, calls: DataFrame) -> DataFrame:
     """Calls with the file and full class of their target, and a confidence.
 
-    A class name is looked up as a full name, an import, a class of the same
-    package, then by its simple name anywhere; a call on an interface goes to the
+    A class name is looked up as a full name, an import, in packages imported
+    with ``*`` by name, in the same package, in java.lang, then by its simple name
+    anywhere; a call on an interface goes to the
     implementations that have the method. Confidence: 1.0 for equal argument
     counts, 0.5 for the name alone, 0.8 over an interface, 0.6 by simple name.
     """
@@ -131,8 +132,12 @@ def resolved(found: DataFrame, calls: DataFrame) -> DataFrame:
     # Equal calls share the hash of their columns and the answer.
     known = classes.select(F.col("full").alias("k"))
     rows = calls.withColumn("n", F.xxhash64(*calls.columns)).join(imports, ["path", "target_class"], "left").join(by_simple, "target_class", "left")
+    wild = found.where("kind = 'import' and endswith(name, '.*')").groupBy("path").agg(F.array_sort(F.collect_set(F.regexp_replace("name", "[*]$", ""))).alias("wild"))
+    rows = rows.join(wild, "path", "left")
     same = F.when(F.col("package") != "", F.concat("package", F.lit("."), "target_class")).otherwise(F.col("target_class"))
-    tries = F.array(*(F.struct(F.lit(r).alias("r"), k.alias("k")) for r, k in enumerate((F.col("target_class"), F.col("imported"), same, F.col("by_simple")))))
+    at = lambda r, k: F.struct(F.lit(r).alias("r"), k.alias("k"))
+    starred = F.transform(F.coalesce("wild", F.array().cast("array<string>")), lambda w: at(2, F.concat(w, F.col("target_class"))))
+    tries = F.concat(F.array(at(0, F.col("target_class")), at(1, F.col("imported")), at(3, same), at(4, F.concat(F.lit("java.lang."), "target_class")), at(5, F.col("by_simple"))), starred)
     hit = rows.select("n", F.explode(tries).alias("t")).select("n", "t.r", "t.k").where("k is not null").join(known, "k").groupBy("n").agg(F.min(F.struct("r", "k")).alias("b"))
     placed = rows.join(hit, "n", "left").select(*calls.columns, "n", F.col("b.k").alias("target_full"), F.col("b.r").alias("how"))
     methods = found.where("kind = 'method'").groupBy(F.col("owner").alias("target_full"), F.col("name").alias("target_method")).agg(F.collect_set("args").alias("arities"))
@@ -141,7 +146,7 @@ def resolved(found: DataFrame, calls: DataFrame) -> DataFrame:
     over = placed.join(found.where("kind = 'interface'").select(F.col("owner").alias("target_full")).distinct(), "target_full", "left_semi").join(parts, "target_full").join(methods.select(F.col("target_full").alias("implementation"), "target_method"), ["implementation", "target_method"])
     first = over.groupBy("n").agg(F.min("implementation").alias("implementation"))
     out = direct.join(first, "n", "left")
-    confidence = F.when(F.col("implementation").isNotNull(), 0.8).when(F.col("arities").isNull(), None).when(F.col("how") == 3, 0.6).when(F.array_contains("arities", F.col("args")), 1.0).otherwise(0.5)
+    confidence = F.when(F.col("implementation").isNotNull(), 0.8).when(F.col("arities").isNull(), None).when(F.col("how") == 5, 0.6).when(F.array_contains("arities", F.col("args")), 1.0).otherwise(0.5)
     final = F.coalesce("implementation", F.when(F.col("arities").isNotNull(), F.col("target_full")))
     named = out.select(*calls.columns, final.alias("target_full"), confidence.alias("confidence"))
     return named.join(classes.select(F.col("full").alias("target_full"), "target_path"), "target_full", "left").select(*calls.columns, "target_full", "target_path", "confidence")

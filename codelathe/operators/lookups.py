@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelathe.functions import scoring
+
 
 def removed(held: DataFrame, gone: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
     """``held`` without the rows whose keys are in ``gone``."""
@@ -110,6 +112,32 @@ def evidence_scores(snippets: DataFrame, articles: DataFrame, entities: DataFram
     return out.select(by, vector.alias("vector"), "n_items", "n_relevant", F.coalesce("q", F.lit(0.0)).alias("quality"))
 
 
+def enhanced_confidence(snippets: DataFrame, articles: DataFrame, entities: DataFrame, tools: DataFrame, questions: DataFrame, by: str) -> DataFrame:
+    """(by, score, rating, factors and the figures behind them) of each question.
+
+    ``questions`` has by and question, ``tools`` by, n_used and n_succeeded; a
+    question without tools or evidence takes the scores that none have.
+    """
+    rows = questions.join(evidence_scores(snippets, articles, entities, by), by, "left").join(tools, by, "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    rows = rows.select(by, "question", F.coalesce("vector", F.lit(0.0)).alias("vector"), *(n(c).alias(c) for c in ("n_items", "n_relevant", "n_used", "n_succeeded")), F.coalesce("quality", F.lit(0.0)).alias("quality"))
+    parts = scoring.components(F.col("vector"), F.col("n_used"), F.col("n_succeeded"), F.col("n_items"), F.col("n_relevant"), F.col("quality"), scoring.clarity(F.col("question")))
+    score = scoring.score(parts)
+    return rows.select(by, score.alias("score"), scoring.rating(score).alias("rating"), scoring.key_factors(parts).alias("factors"), "vector", "n_used", "n_succeeded", "n_items", "n_relevant", "quality")
+
+
+def namespace_of(path: Column) -> Column:
+    """First part of a path; ``default`` where it is null or empty."""
+    return F.coalesce(F.nullif(F.substring_index(path, "/", 1), F.lit("")), F.lit("default"))
+
+
+def run_totals(results: DataFrame, by: str = "repository") -> DataFrame:
+    """(by, n_success, n_failed, n_skipped, status) of embedding runs; ``results`` has by and outcome."""
+    count = lambda v: F.count_if(F.col("outcome") == v)
+    out = results.groupBy(by).agg(count("success").alias("n_success"), count("failed").alias("n_failed"), count("skipped").alias("n_skipped"))
+    return out.withColumn("status", F.when(F.col("n_failed") == 0, "success").when(F.col("n_success") > 0, "partial_success").otherwise("error"))
+
+
 def nodes_by_path(nodes: DataFrame, path: str, column: str = "path") -> DataFrame:
     return nodes.where(F.replace(F.col(column), F.lit("\\"), F.lit("/")).contains(path.replace("\\", "/")))
 

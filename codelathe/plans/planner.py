@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -103,3 +105,40 @@ def execute(plan: Plan, registry: Registry) -> Result:
 
 def status(total: int, failed: int) -> str:
     return "success" if failed == 0 else "error" if failed >= total else "partial_success"
+
+
+def answer(plan: Plan, registry: Registry, fallback: Callable[[str], DataFrame]) -> Result:
+    """The plan's result, or the fallback's as ``static`` where a required step fails."""
+    out = execute(plan, registry)
+    if out.failed:
+        out.answers["static"] = fallback(plan.query)
+    return out
+
+
+def error_category(e: BaseException) -> str:
+    if isinstance(e, TimeoutError):
+        return "EXECUTION_TIMEOUT"
+    if isinstance(e, InterruptedError):
+        return "EXECUTION_INTERRUPTED"
+    if isinstance(e, (ValueError, TypeError)):
+        return "INVALID_PARAMETERS"
+    return "RESOURCE_EXHAUSTION" if isinstance(e, MemoryError) or isinstance(e.__cause__, MemoryError) else "EXECUTION_ERROR"
+
+
+def is_retryable(e: BaseException) -> bool:
+    """Whether another try may help: not for wrong parameters, timeouts or exhausted memory."""
+    return error_category(e) in ("EXECUTION_ERROR", "EXECUTION_INTERRUPTED")
+
+
+def retried(run: Callable[[], Any], retries: int = 3, wait: float = 1.0, factor: float = 1.0, jitter: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> Any:
+    """``run()``, again up to ``retries`` times while its errors are retryable.
+
+    The pause is fixed, or grows by ``factor``; up to a share of ``jitter`` is added by chance.
+    """
+    for n in range(retries + 1):
+        try:
+            return run()
+        except Exception as e:
+            if n == retries or not is_retryable(e):
+                raise
+            sleep(wait * factor**n * (1 + jitter * random.random()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelathe.operators import code, lookups, web
 from codelathe.operators import sourcefiles as s
 from codelathe.plans.catalog import query
 from codelathe.plans.lookups import _values
@@ -80,7 +81,7 @@ _PROPERTY_LINES = f"(SELECT path, g.i AS line, string_split(content, chr(10))[g.
     "SELECT 'app.*' AS requested, key, value, path, line FROM k WHERE starts_with(key, 'app.') AND length(key) > 4 UNION ALL SELECT 'app.name', key, value, path, line FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS r FROM k WHERE key = 'app.name') WHERE r = 1 UNION ALL SELECT 'timeout', key, value, path, line FROM k WHERE key = 'timeout'",
 )
 def property_sources(spark: SparkSession, d: str) -> DataFrame:
-    return s.property_sources(_rows(spark), ["app.*", "app.name", "timeout", "none"])
+    return s.property_sources(_rows(spark), ["app.*", "app.name", "timeout", "none"]).withColumn("line", F.col("line").cast("long"))
 
 
 @query("default_values", "SELECT * FROM (VALUES ('app.name', 'Shop=One'), ('app.timeout', '9'), ('app.mode', 'fast'), ('app.none', NULL)) AS v(name, value)")
@@ -170,3 +171,39 @@ _CONTEXTS = [
 @query("log_calls", f"SELECT * FROM {_values(_CONTEXTS, 'path, level, message, line, method, context')}")
 def log_calls(spark: SparkSession, d: str) -> DataFrame:
     return s.log_calls(_rows(spark))
+
+
+@query("impact_notes", "SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size > 40 OR p_partkey % 2 > 0 OR p_partkey % 5 > 3 THEN 'critical contexts' END, CASE WHEN p_partkey % 9 > 5 THEN 'wide scope' END], lambda x: x IS NOT NULL), '|') AS notes, array_to_string(list_filter([CASE WHEN p_partkey % 2 > 0 THEN 'Add Default Value' END, CASE WHEN p_partkey % 3 > 0 THEN 'Consider Immutability' END, CASE WHEN contains(p_name, 'a') THEN 'Secure Database Configuration' END, 'Configuration Documentation', CASE WHEN p_partkey % 9 > 3 THEN 'Configuration Centralization' END], lambda x: x IS NOT NULL), '|') AS recommendations FROM part")
+def impact_notes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    notes = code.impact_notes((F.col("p_size") > 40).cast("int"), k % 2, F.when(k % 5 > 3, 1).otherwise(0), k % 9)
+    return table(spark, d, "part").select("p_partkey", F.array_join(notes, "|").alias("notes"), F.array_join(code.impact_recommendations(k % 2, k % 3, F.col("p_name").contains("a"), k % 9), "|").alias("recommendations"))
+
+
+@query(
+    "enhanced_confidence",
+    "WITH x AS (SELECT user_id, (event_id % 11 - 3) / 8.0 AS r, 's' AS k FROM events WHERE event_type = 'view' UNION ALL SELECT user_id, (event_id % 10) / 10.0 * 0.8, 'a' FROM events WHERE event_type = 'click' UNION ALL SELECT user_id, 0.7, 'e' FROM events WHERE event_type = 'error'), "
+    "g AS (SELECT user_id, avg(r) FILTER (WHERE k = 's' AND r > 0) AS positive, count(*) FILTER (WHERE k = 's') AS n_s, count(*) AS n, count(*) FILTER (WHERE k <> 's' OR r >= 0.5) AS n_r, avg(r) FILTER (WHERE k <> 's' OR r >= 0.5) AS q FROM x GROUP BY user_id), "
+    "u AS (SELECT c_custkey AS user_id, 'how does code ' || c_custkey AS question FROM customer), "
+    "p AS (SELECT u.user_id, CASE WHEN coalesce(n_s, 0) = 0 THEN 0.0 ELSE least(1.0, coalesce(positive, 0.3)) END AS v, CASE WHEN u.user_id % 3 > 0 THEN (u.user_id % 2) / (u.user_id % 3) ELSE 0.5 END AS t, CASE WHEN n > 0 THEN 0.6 * n_r / n + 0.4 * coalesce(q, 0) ELSE 0.3 END AS e, greatest(0.1, least(1.0, 0.4 * least(1.0, length(question) / 50.0) + 0.3)) AS c FROM u LEFT JOIN g ON u.user_id = g.user_id), "
+    "s AS (SELECT *, greatest(0.0, least(1.0, 0.4 * v + 0.3 * t + 0.2 * e + 0.1 * c)) AS score FROM p) SELECT user_id, round(score, 6)::DOUBLE AS score, CASE WHEN score >= 0.9 THEN 'Very High' WHEN score >= 0.75 THEN 'High' WHEN score >= 0.5 THEN 'Medium' WHEN score >= 0.25 THEN 'Low' ELSE 'Very Low' END AS rating FROM s",
+)
+def enhanced_confidence(spark: SparkSession, d: str) -> DataFrame:
+    e, u = table(spark, d, "events"), table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    of = lambda kind, r: e.where(F.col("event_type") == kind).select("user_id", r.cast("double").alias("relevance"))
+    questions = u.select("user_id", F.concat(F.lit("how does code "), F.col("user_id").cast("string")).alias("question"))
+    tools = u.select("user_id", (F.col("user_id") % 3).alias("n_used"), (F.col("user_id") % 2).alias("n_succeeded"))
+    found = lookups.enhanced_confidence(of("view", (F.col("event_id") % 11 - 3) / 8.0), of("click", (F.col("event_id") % 10) / 10.0), of("error", F.lit(1.0)), tools, questions, "user_id")
+    return found.select("user_id", F.round("score", 6).alias("score"), "rating")
+
+
+@query("embedding_run_totals", "SELECT namespace AS repository, count(*) FILTER (WHERE k = 0) AS n_success, count(*) FILTER (WHERE k = 1) AS n_failed, count(*) FILTER (WHERE k = 2) AS n_skipped, CASE WHEN count(*) FILTER (WHERE k = 1) = 0 THEN 'success' WHEN count(*) FILTER (WHERE k = 0) > 0 THEN 'partial_success' ELSE 'error' END AS status FROM (SELECT coalesce(nullif(split_part(source, '/', 1), ''), 'default') AS namespace, (doc_id // 7) % 3 AS k FROM documents) GROUP BY namespace")
+def embedding_run_totals(spark: SparkSession, d: str) -> DataFrame:
+    k = F.expr("(doc_id div 7) % 3")
+    outcome = F.when(k == 0, "success").when(k == 1, "failed").otherwise("skipped")
+    return lookups.run_totals(table(spark, d, "documents").select(lookups.namespace_of(F.col("source")).alias("repository"), outcome.alias("outcome")))
+
+
+@query("page_main_text")
+def page_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return web.main_texts(table(spark, d, "pages"))
