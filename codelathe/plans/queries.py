@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelathe.functions import scoring, text
-from codelathe.functions.vector import cosine
-from codelathe.operators import chunks, code, graph, limits, logs, retrieval, store
+from codelathe.operators import chunks, code, graph, limits, logs, neighbours, retrieval, store
 from codelathe.plans.catalog import query
 from codelathe.sources.readers import table
 
@@ -48,12 +47,8 @@ def semantic_topk_by_label(spark: SparkSession, d: str) -> DataFrame:
 
 @query("nearest_of_queries", f"WITH v AS (SELECT q.vec_id AS qid, e.vec_id AS id, e.embedding AS a, q.embedding AS b FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id), s AS (SELECT qid, id, round({COS}, 6) AS similarity FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rank FROM s) SELECT qid, id, similarity, rank FROM r WHERE rank <= 5")
 def nearest_of_queries(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("b"))
-    pairs = e.join(F.broadcast(q) if q.count() <= 20_000 else q, F.col("vec_id") != F.col("qid"))
-    s = pairs.select("qid", F.col("vec_id").alias("id"), F.round(cosine(F.col("embedding"), F.col("b")), 6).alias("similarity"))
-    order = Window.partitionBy("qid").orderBy(F.desc("similarity"), "id")
-    return s.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 5")
+    v = _vectors(spark, d)
+    return neighbours.nearest(v, v.where("id % 50 = 0"), 5)
 
 
 @query("namespace_sizes", "SELECT label AS namespace, count(*) AS n, min(len(embedding)) AS dims FROM embeddings GROUP BY label")
